@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, sharding, url_filter
+from . import bpe, decontaminate, license_scan, sharding, token_output, url_filter
 
 QUERIES = {
+    "op2_token_output": token_output.query,
+    "op4_bpe": bpe.query,
     "op5_decontamination": decontaminate.query,
     "op6_license_scan": license_scan.query,
     "op8_sharding": sharding.query,
