@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, license_scan, sharding, token_output, url_filter
+from . import bpe, decontaminate, license_scan, quality_crf, sharding, token_output, url_filter
 
 QUERIES = {
     "op2_token_output": token_output.query,
+    "op3_quality_crf": quality_crf.query,
     "op4_bpe": bpe.query,
     "op5_decontamination": decontaminate.query,
     "op6_license_scan": license_scan.query,
