@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import pieces, rows, workspace
+from . import pieces, rows, textscan, workspace
 
 LEXICON = 32_768
 RARE = 50_000
@@ -224,13 +224,25 @@ def encoder(vocabulary: Vocabulary, lexicon: Lexicon | None) -> pieces.Encoder:
     return pieces.Encoder(encode_new, vocabulary.special)
 
 
+_WORKER: dict[tuple[str, bytes], tuple[Vocabulary, pieces.Encoder]] = {}
+
+
+def worker_encoder(spec: str, lexicon: bytes) -> tuple[Vocabulary, pieces.Encoder]:
+    """Vocabulary and encoder of this Python worker: later tasks find the pieces of earlier ones."""
+    if (spec, lexicon) not in _WORKER:
+        _WORKER.clear()
+        own = Vocabulary(spec)
+        _WORKER[spec, lexicon] = own, encoder(own, Lexicon(lexicon))
+    return _WORKER[spec, lexicon]
+
+
 def frequent_pieces(docs: DataFrame, text: str = "text", limit: int = LEXICON) -> list[str]:
     """The most frequent pieces of all documents, most frequent first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total, floor = Counter(), 0, 1
         for x in batches:
-            for _, texts in pieces.text_blocks(x.column(0).to_pylist()):
+            for _, texts in (b for s in textscan.slices(x, 0) for b in pieces.text_blocks(s.column(0).to_pylist())):
                 b = pieces.Block(texts)
                 total += len(b.which)
                 seen.update(dict(zip(b.distinct, np.bincount(b.which, minlength=len(b.distinct)).tolist(), strict=True)))
@@ -255,15 +267,12 @@ def transcode(docs: DataFrame, *, text: str = "text", tokenizer: str, lexicon: i
     vocabulary = Vocabulary(tokenizer)
     words = [p.encode() for p in frequent_pieces(docs, text, lexicon)] if lexicon else []
     held = sc.broadcast((tokenizer, compile_lexicon(words, vocabulary.merge)))
-    made: dict = {}
 
     def work(column: pa.Array) -> list[pa.Array]:
-        if not made:  # once per task
-            made["v"] = Vocabulary(held.value[0])
-            made["e"] = encoder(made["v"], Lexicon(held.value[1]))
+        own, encode = worker_encoder(*held.value)
         sizes, first, second = [], [], []
-        for ids in made["e"].column(column):
-            back = made["v"].decode(ids)
+        for ids in encode.column(column):
+            back = own.decode(ids)
             sizes.append(len(ids))
             first.append(ids.astype(np.int32) if full else hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
             second.append(back if full else hashlib.sha256(back.encode()).hexdigest())

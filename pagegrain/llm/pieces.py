@@ -92,7 +92,8 @@ class Block:
         end = np.append(start[1:], len(code))
         self.first = np.searchsorted(start, bounds)  # first piece of each text
         h = _hashes(code, start, end)
-        _, one, self.which = np.unique(h, return_index=True, return_inverse=True)
+        self.which = pa.array(h).dictionary_encode().indices.to_numpy()  # in order of first occurrence
+        one = np.flatnonzero(np.diff(np.maximum.accumulate(self.which), prepend=-1) > 0) if len(h) else self.which
         self.distinct = [whole[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
 
 
@@ -123,7 +124,7 @@ class Encoder:
     most ``keep`` pieces, which then starts anew.  special: strings that are one id wherever they occur.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], special: dict[str, int] | None = None, keep: int = 1_000_000):
+    def __init__(self, encode_new: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], special: dict[str, int] | None = None, keep: int = 400_000):
         self.encode_new, self.special, self.keep = encode_new, special or {}, keep
         self._reset()
 

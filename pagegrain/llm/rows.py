@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import textscan
+
 #: Name under which the text travels while a batch is worked on; never in a result.
 TEXT = "__pagegrain_text"
 
@@ -34,9 +36,10 @@ def extend(df: DataFrame, text: str, fields: Sequence[T.StructField], work: Call
     drop = at if column == TEXT else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = list(work(batch.column(at)))
-            old = [batch.column(i) for i in range(batch.num_columns) if i != drop]
-            yield pa.RecordBatch.from_arrays([*old, *made], names=names)
+        for whole in batches:
+            for batch in textscan.slices(whole, at):
+                made = list(work(batch.column(at)))
+                old = [batch.column(i) for i in range(batch.num_columns) if i != drop]
+                yield pa.RecordBatch.from_arrays([*old, *made], names=names)
 
     return source.mapInArrow(run, schema)

@@ -136,3 +136,14 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out += h[j:j + n] * _LANE[j]
     return mix(out)
+
+
+def slices(batch: pa.RecordBatch, at: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about ``limit`` bytes of its string column ``at``: what is made of a piece stays small."""
+    column = batch.column(at)
+    if not len(column):
+        return
+    wide = pa.types.is_large_string(column.type)
+    offs = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    for a, b in blocks(offs, limit):
+        yield batch.slice(a, b - a)

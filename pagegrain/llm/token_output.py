@@ -23,6 +23,7 @@ segment boundaries and sums (at most ``MAX_SEGMENTS``) reach the driver.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import pieces, workspace
+from . import pieces, textscan, workspace
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
@@ -112,6 +113,18 @@ def library_encoder(spec: str) -> pieces.Encoder:
     return pieces.Encoder(encode_new, special)
 
 
+_WORKER: dict[str, pieces.Encoder] = {}
+
+
+def worker_encoder(spec: str) -> pieces.Encoder:
+    """The encoder of this Python worker: later tasks of the worker find the pieces of earlier ones."""
+    if spec not in _WORKER:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        _WORKER.clear()
+        _WORKER[spec] = library_encoder(spec)
+    return _WORKER[spec]
+
+
 def segment_bounds(docs: DataFrame, doc_id: str, rows_per_segment: int) -> list[int]:
     """Ascending ids at which a new segment begins (the first begins before all)."""
     n = docs.count()
@@ -128,8 +141,8 @@ def _encode(docs: DataFrame, doc_id: str, text: str, spec: str, end_id: int, bou
     schema = "segment int, doc_id long, n long, crc long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(held.value)
-        for x in batches:
+        encoder = worker_encoder(held.value)
+        for x in (piece for whole in batches for piece in textscan.slices(whole, 1)):
             ids, crcs, sizes = [], [], []
             for own in encoder.column(x.column(1)):
                 own = np.append(own, np.uint32(end_id)).astype("<u4")
