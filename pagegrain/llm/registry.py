@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_extract, license_scan, quality_crf, sharding, token_output, url_filter
+from . import bpe, decontaminate, html_extract, license_scan, quality_crf, quality_rules, sharding, token_output, url_filter
 
 QUERIES = {
     "op2_token_output": token_output.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_bpe": bpe.query,
     "op5_decontamination": decontaminate.query,
     "op6_license_scan": license_scan.query,
+    "op7_quality_rules": quality_rules.query,
     "op8_sharding": sharding.query,
     "op9_html_extraction": html_extract.query,
     "op10_url_filter": url_filter.query,
