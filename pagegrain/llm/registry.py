@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_extract, license_scan, quality_crf, quality_rules, sharding, token_output, url_filter
+from . import bpe, decontaminate, html_extract, license_scan, ngram_join, quality_crf, quality_rules, sharding, token_output, url_filter
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_join.query,
     "op2_token_output": token_output.query,
     "op3_quality_crf": quality_crf.query,
     "op4_bpe": bpe.query,
