@@ -42,10 +42,11 @@ from . import textscan, workspace
 N_WORDS = 4
 NUM, DEN = 85, 100
 BLOCK = 2048
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 500_000
 MAX_FREQUENT = 200_000
 FREQUENT_PER = 2000
-MAX_BITS = 4096
+LONG = 4096
+WIDE_BITS = 1 << 17
 
 
 def doc_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -68,16 +69,45 @@ def digest(tokens: np.ndarray, seed: int) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """Bits of the hashes' low parts; as many as the next power of two of the size, within limits."""
-    width = min(MAX_BITS, max(64, 1 << (len(tokens) - 1).bit_length()))
+def _bits(tokens: np.ndarray, width: int) -> bytes:
     bits = np.zeros(width, bool)
     bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def _width(n: int) -> int:
+    return max(64, 1 << (n - 1).bit_length())
+
+
+def bitmap(tokens: np.ndarray, num: int, den: int) -> bytes:
+    """Bits of the hashes' low parts, with a width of the next power of two of ``n / t``.
+
+    So all maps in a tile have at least as many bits as its largest set has n-grams.  Sets of ``LONG`` n-grams or
+    more map half of these only (those with a zero in one hash bit) at half the width: their bound is
+    still sharp.  Sets that meet both kinds have both maps, the whole and then the half.
+    """
+    n = len(tokens)
+    reach = -(-n * den // num)
+    whole = _bits(tokens, _width(reach)) if n < LONG else b""
+    if den * n < num * LONG:
+        return whole
+    return whole + _bits(tokens[(tokens >> np.uint64(40)) & np.uint64(1) == 0], _width(reach) // 2)
+
+
+def wide_bitmap(tokens: np.ndarray) -> bytes:
+    """A whole map for the comparison of few sets."""
+    return _bits(tokens, min(WIDE_BITS, _width(len(tokens))))
+
+
+def tile_maps(maps: list[bytes], n: np.ndarray, num: int, den: int) -> list[bytes]:
+    """The maps of one kind that all sets of a tile have."""
+    half = bool(max(n) >= LONG)
+    both = (den * n >= num * LONG) & (n < LONG)
+    return [(m[2 * len(m) // 3:] if half else m[:2 * len(m) // 3]) if b else m for m, b in zip(maps, both.tolist(), strict=True)]
+
+
 def folded(maps: list[bytes]) -> np.ndarray:
-    """Bitmaps as rows of 64-bit words, all folded to the smallest width among them."""
+    """Bitmaps as rows of 64-bit words, folded to the smallest width among them."""
     width = min(map(len, maps))
     out = np.empty((len(maps), width // 8), np.uint64)
     for i, m in enumerate(maps):
@@ -214,12 +244,13 @@ def class_rows(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray
                     continue
                 back = table[(tokens & np.uint64((1 << 22) - 1)).astype(np.int64)]
                 if back.any():
-                    back[back] = np.isin(tokens[back], last)
+                    some = tokens[back]
+                    back[back] = last[np.minimum(np.searchsorted(last, some), len(last) - 1)] == some
                     order = np.concatenate([tokens[~back], tokens[back]])
                 else:
                     order = tokens
                 node, check = digest(tokens, seed)
-                for c, v in zip(cols, (n, node, check, bitmap(tokens), order[:n - -(-num * n // den) + 1].view(np.int64)), strict=True):
+                for c, v in zip(cols, (n, node, check, bitmap(tokens, num, den), order[:n - -(-num * n // den) + 1].view(np.int64)), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([x.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]], names=names)
 
@@ -254,7 +285,7 @@ def candidate_edges(classes: DataFrame, num: int, den: int) -> DataFrame:
             n = cols[5].to_numpy().astype(np.int64)
             if len(nodes) == 2 and num * max(n) > den * min(n):
                 continue
-            rows = folded(cols[6].to_pylist())
+            rows = folded(tile_maps(cols[6].to_pylist(), n, num, den))
             ones = np.bitwise_count(rows).sum(axis=1).astype(np.int64)
 
             def linked(i: int, rest: np.ndarray, rows=rows, ones=ones, n=n) -> np.ndarray:
@@ -313,7 +344,7 @@ def verified_edges(docs: DataFrame, classes: DataFrame, trees: DataFrame, k: int
             if len(nodes) < 2:
                 continue
             n = np.array([len(a) for a in arrays])
-            rows = folded([bitmap(a) for a in arrays])
+            rows = folded([wide_bitmap(a) for a in arrays])
             ones = np.bitwise_count(rows).sum(axis=1).astype(np.int64)
 
             def linked(i: int, rest: np.ndarray, rows=rows, ones=ones, n=n, arrays=arrays) -> np.ndarray:
@@ -341,6 +372,8 @@ def verified_edges(docs: DataFrame, classes: DataFrame, trees: DataFrame, k: int
 
 def join_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = N_WORDS, num: int = NUM, den: int = DEN, seed: int = 0) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
+    if not den <= 2 * num <= 2 * den:
+        raise ValueError("similarities from 0.5 to 1 only: size bands reach no further")
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     frequent = frequent_ngrams(docs.select("text"), k)
     sets = workspace.written(class_rows(docs, k, num, den, frequent, seed), "ngram-sets")
