@@ -1,10 +1,10 @@
-"""Registered queries of the engine, with their oracle SQL."""
+"""Registered queries of the engine, with SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import audit_queries, text_queries, url_queries, vector_queries
+from .registry import ORACLES, QUERIES
 
+flagship = vector_queries.similar_documents
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "audit_queries", "flagship", "text_queries", "url_queries", "vector_queries"]

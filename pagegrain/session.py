@@ -49,3 +49,11 @@ def ship(spark: SparkSession) -> SparkSession:
     sys.path[:] = [p for p in sys.path if p != name]
     spark.sparkContext._pagegrain_shipped = True
     return spark
+
+
+def cut_lineage(df):
+    """``df`` checkpointed in the folder of spark.checkpoint.dir (a temporary one only if that is unset)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagegrain-"))
+    return df.checkpoint()
