@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from . import rows, workspace
 
-STRICT = ("porn", "porno", "xxx", "hardcore", "escort", "escorts", "camgirls", "casino", "viagra", "warez", "malware", "phishing")
-SOFT = {"adult": 1, "sexy": 1, "dating": 1, "poker": 1, "betting": 1, "slots": 1, "bonus": 1, "jackpot": 1, "payday": 1, "loan": 1, "loans": 1, "pills": 1, "pharmacy": 1, "torrent": 1, "crack": 1, "keygen": 1, "hack": 1, "cheap": 1, "replica": 1, "free": 1, "win": 1, "spam": 1}
+STRICT = ("adult", "porn", "porno", "xxx", "hardcore", "escort", "escorts", "camgirls", "casino", "viagra", "warez", "malware", "phishing", "spam")
+SOFT = {"sexy": 1, "dating": 1, "poker": 1, "bet": 1, "bets": 1, "betting": 1, "slots": 1, "bonus": 1, "jackpot": 1, "payday": 1, "loan": 1, "loans": 1, "pills": 1, "pharmacy": 1, "torrent": 1, "crack": 1, "keygen": 1, "hack": 1, "cheap": 1, "replica": 1, "free": 1, "win": 1}
 SOFT_LIMIT = 2
 RULES = (
     ("allow", "org", "/"),
