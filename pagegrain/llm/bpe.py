@@ -215,11 +215,11 @@ class Lexicon:
 
 
 def encoder(vocabulary: Vocabulary, lexicon: Lexicon | None) -> pieces.Encoder:
-    def encode_new(new: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def encode_new(new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = [p.encode("utf-8", "surrogatepass") for p in new]
         rank = lexicon.find(words) if lexicon else np.full(len(words), -1)
         ids = [vocabulary.merge(w) if r < 0 else lexicon.ids[lexicon.upto[r]:lexicon.upto[r + 1]].tolist() for w, r in zip(words, rank.tolist(), strict=True)]
-        return pieces.flattened(new, ids)
+        return np.arange(len(new)), *pieces.flattened(ids)
 
     return pieces.Encoder(encode_new, vocabulary.special)
 
@@ -245,7 +245,7 @@ def frequent_pieces(docs: DataFrame, text: str = "text", limit: int = LEXICON) -
             for _, texts in (b for s in textscan.slices(x, 0) for b in pieces.text_blocks(s.column(0).to_pylist())):
                 b = pieces.Block(texts)
                 total += len(b.which)
-                seen.update(dict(zip(b.distinct, np.bincount(b.which, minlength=len(b.distinct)).tolist(), strict=True)))
+                seen.update(dict(zip(b.pieces(), np.bincount(b.which, minlength=len(b.hash)).tolist(), strict=True)))
                 while len(seen) > 8 * RARE:  # rare ones go; a piece over 1 in RARE cannot fall under
                     floor += 1
                     seen = Counter({w: c for w, c in seen.items() if c >= floor})

@@ -94,10 +94,14 @@ class Block:
         h = _hashes(code, start, end)
         self.which = pa.array(h).dictionary_encode().indices.to_numpy()  # in order of first occurrence
         one = np.flatnonzero(np.diff(np.maximum.accumulate(self.which), prepend=-1) > 0) if len(h) else self.which
-        self.distinct = [whole[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+        self.hash, self.start, self.end, self.whole = h[one], start[one], end[one], whole
 
+    def pieces(self, at: np.ndarray | slice = slice(None)) -> list[str]:
+        """Distinct pieces, by their number in the block."""
+        return [self.whole[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
 
-def text_blocks(texts: Sequence[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+
+def text_blocks(texts: Sequence[str | None], limit: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
     """(index of the first, texts) for blocks of whole texts; null is an empty text."""
     held, size, first = [], 0, 0
     for i, t in enumerate(texts):
@@ -111,56 +115,70 @@ def text_blocks(texts: Sequence[str | None], limit: int = 1 << 20) -> Iterator[t
         yield first, held
 
 
-def flattened(pieces: list[str], ids: list[Sequence[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def flattened(ids: list[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids one after the other, the number of each)."""
     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    return pieces, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+    return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    while len(a) < n:
+        a = np.concatenate([a, np.zeros_like(a)])
+    return a
 
 
 class Encoder:
     """Ids of whole texts, from a function that encodes distinct pieces.
 
-    encode_new: of a list of pieces not seen before, (the pieces in any order, their ids one
-    after the other, the number of ids of each).  Seen ones stay in a table of at
+    encode_new: of a list of pieces not seen before, (their order in the result, their ids one
+    after the other, the number of ids of each).  Seen ones are known by their 64-bit hash and stay in a table of at
     most ``keep`` pieces, which then starts anew.  special: strings that are one id wherever they occur.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], special: dict[str, int] | None = None, keep: int = 400_000):
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], special: dict[str, int] | None = None, keep: int = 2_000_000):
         self.encode_new, self.special, self.keep = encode_new, special or {}, keep
         self._reset()
 
     def _reset(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.upto = np.zeros(1 << 16, np.int64)  # end of each seen piece's ids in the pool
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes of seen pieces
+        self.slot = np.zeros(0, np.int32)  # and the number of each
+        self.upto = np.zeros(1 << 16, np.int64)  # end of each number's ids in the pool
         self.pool = np.zeros(1 << 18, np.uint32)
 
-    def _learn(self, new: list[str]) -> None:
-        new, flat, sizes = self.encode_new(new)
-        at = len(self.seen)
-        while len(self.upto) < at + len(new) + 1:
-            self.upto = np.concatenate([self.upto, np.zeros_like(self.upto)])
+    def _learn(self, block: Block, new: np.ndarray) -> None:
+        order, flat, sizes = self.encode_new(block.pieces(new))
+        at = len(self.keys)
+        self.upto = _grown(self.upto, at + len(new) + 1)
         base = int(self.upto[at])
-        while len(self.pool) < base + len(flat):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool = _grown(self.pool, base + len(flat))
         self.pool[base:base + len(flat)] = flat
         self.upto[at + 1:at + 1 + len(new)] = base + np.cumsum(sizes)
-        self.seen.update(zip(new, range(at, at + len(new)), strict=True))
-
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
-        seen = self.seen
-        new = [p for p in pieces if p not in seen]
-        if new:
-            if len(seen) + len(new) > self.keep:
+        keys = np.concatenate([self.keys, block.hash[new][order]])
+        sort = np.argsort(keys, kind="stable")  # a merge of two sorted runs, nearly
+        self.slot = np.concatenate([self.slot, np.arange(at, at + len(new), dtype=np.int32)])[sort]
+        self.keys = keys[sort]
+
+    def _numbers(self, block: Block) -> np.ndarray:
+        for _ in range(2):
+            at = np.minimum(np.searchsorted(self.keys, block.hash), max(len(self.keys) - 1, 0))
+            known = self.keys[at] == block.hash if len(self.keys) else np.zeros(len(block.hash), bool)
+            if known.all():
+                break
+            new = np.flatnonzero(~known)
+            if len(self.keys) + len(new) > self.keep and len(self.keys):
                 self._reset()
-                new, seen = pieces, self.seen
-            self._learn(new)
-        return np.fromiter(map(self.seen.__getitem__, pieces), np.int64, len(pieces))
+                new = np.arange(len(block.hash))
+            self._learn(block, new)
+        else:
+            at = np.searchsorted(self.keys, block.hash)
+        return self.slot[at]
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text in them)."""
         if any(s in t for s in self.special for t in texts):
             return self._with_special(texts)
         b = Block(texts)
-        number = self._numbers(b.distinct)[b.which]
+        number = self._numbers(b)[b.which]
         begin = self.upto[number]
         n = self.upto[number + 1] - begin
         upto = np.concatenate([[0], np.cumsum(n)])

@@ -97,18 +97,17 @@ def library_encoder(spec: str) -> pieces.Encoder:
     plain = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
     (line,) = plain(["\n"])[0]
 
-    def encode_new(new: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        one, other = [], []
-        for p in new:
-            (other if p.isspace() or "\n" in p else one).append(p)
-        lines = plain(["\n".join(one[i:i + 512]) + "\n" for i in range(0, len(one), 512)])
-        flat = np.concatenate([np.fromiter(x, np.uint32, len(x)) for x in lines] or [np.zeros(0, np.uint32)])
+    def encode_new(new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        odd = np.fromiter((p.isspace() or "\n" in p for p in new), bool, len(new))
+        one, other = np.flatnonzero(~odd), np.flatnonzero(odd)
+        texts = [new[i] for i in one.tolist()]
+        lines = plain(["\n".join(texts[i:i + 64]) + "\n" for i in range(0, len(texts), 64)])
+        flat, _ = pieces.flattened(lines)
         breaks = np.flatnonzero(flat == line)
         if len(breaks) != len(one):
             raise ValueError("the tokenizer does not keep line breaks as ids of their own")
-        sizes = np.diff(breaks, prepend=-1) - 1
-        _, rest, more = pieces.flattened(other, plain(other))
-        return one + other, np.concatenate([flat[flat != line], rest]), np.concatenate([sizes, more])
+        rest, more = pieces.flattened(plain([new[i] for i in other.tolist()]))
+        return np.concatenate([one, other]), np.concatenate([flat[flat != line], rest]), np.concatenate([np.diff(breaks, prepend=-1) - 1, more])
 
     return pieces.Encoder(encode_new, special)
 
