@@ -24,8 +24,8 @@ def has_letters(text: Column) -> Column:
 
 
 def token_estimate(text: Column) -> Column:
-    """A quarter of the normalised length, rounded half to even, at least 1; 0 for blank texts."""
-    n = F.length(normalize_whitespace(text))
+    """A quarter of the normalised length, rounded half to even, at least 1; 0 for blank and null texts."""
+    n = F.coalesce(F.length(normalize_whitespace(text)), F.lit(0))
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.bround(n / F.lit(4.0), 0).cast("int"))).cast("int")
 
 
