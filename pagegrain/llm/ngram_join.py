@@ -390,3 +390,22 @@ def join_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: all documents, 4-word n-grams, similarity 0.85 or more."""
     return join_components(workspace.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {N_WORDS} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {N_WORDS} + 2), lambda i: array_to_string(w[i:i + {N_WORDS - 1}], ' ')) END) AS g
+  FROM w),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE {DEN} * o >= {NUM} * (a.n + b.n - o)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, y) AS (SELECT rid, rid FROM w UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT r.x, min(doc_id) AS component_id FROM r JOIN w ON w.rid = r.y GROUP BY r.x)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM w LEFT JOIN n USING (rid) JOIN c ON c.x = w.rid
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ngram_jaccard": ngram_join.ORACLE_SQL,
     "op5_decontamination": decontaminate.ORACLE_SQL,
     "op6_license_scan": license_scan.oracle_sql(),
     "op10_url_filter": url_filter.oracle_sql(),
