@@ -37,6 +37,11 @@ def sentences(text: Column) -> Column:
     return _clean(F.split(text, rf"(?<=[.!?]){SPACE}+", -1))
 
 
+def plain_sentences(normalized: Column) -> Column:
+    """Sentences of a text that is normalised already: nothing is left to normalise in them."""
+    return F.filter(F.split(normalized, r"(?<=[.!?]) +", -1), lambda x: x != "")
+
+
 def text_blocks(text: Column) -> Column:
     """Paragraphs between blank lines if there are several, else lines, else sentences."""
     paragraphs = _clean(F.split(text, rf"\n{SPACE}*\n+", -1))
@@ -53,9 +58,9 @@ def snippet(text: Column, limit: int = 220) -> Column:
     return shorten(normalize_whitespace(text), limit)
 
 
-def repetition_key(text: Column) -> Column:
-    """Lower case, with nothing but a-z, 0-9 and spaces."""
-    return F.regexp_replace(F.lower(normalize_whitespace(text)), "[^a-z0-9 ]+", "")
+def repetition_key(normalized: Column) -> Column:
+    """Lower case, with nothing but a-z, 0-9 and spaces, of a normalised text."""
+    return F.regexp_replace(F.lower(normalized), "[^a-z0-9 ]+", "")
 
 
 def content_words(text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.barrier import computed
 
 MAX_CHARS, TARGET_CHARS, SHORT_SECTION = 2400, 1600, 80
 
@@ -42,10 +43,11 @@ def chunk_sections(pages: DataFrame, *, max_chars: int = MAX_CHARS, target_chars
     The order is a running number inside each page: one shuffle by page, none larger.
     """
     sections = pages.select(F.col("url").alias("page_url"), F.col("title").alias("page_title"), F.col("h1").alias("page_h1"), F.inline("sections"))
-    df = sections.withColumn("__text", tx.normalize_whitespace("text")).where(F.col("__text") != "")
+    df = computed(sections, __text=tx.normalize_whitespace(F.col("text"))).where(F.col("__text") != "")
     long = F.length("__text") > max_chars
-    parts = F.when(long, pack(tx.sentences(F.col("__text")), max_chars=max_chars, target_chars=target_chars)).otherwise(F.array("__text"))
-    df = df.select("page_url", "page_title", "page_h1", "section_id", F.col("heading_path").alias("section_path"), F.col("heading_text").alias("section_heading"), F.col("heading_level").alias("section_heading_level"), F.col("order").alias("section_order"), F.length("__text").alias("__n"), F.posexplode(parts).alias("part", "chunk_text"))
+    parts = F.when(long, pack(tx.plain_sentences(F.col("__text")), max_chars=max_chars, target_chars=target_chars)).otherwise(F.array("__text"))
+    df = computed(df, __parts=parts)
+    df = df.select("page_url", "page_title", "page_h1", "section_id", F.col("heading_path").alias("section_path"), F.col("heading_text").alias("section_heading"), F.col("heading_level").alias("section_heading_level"), F.col("order").alias("section_order"), F.length("__text").alias("__n"), F.posexplode("__parts").alias("part", "chunk_text"))
     n = F.length("chunk_text")
     warnings = F.when(F.col("__n") <= max_chars, F.when(F.col("__n") < SHORT_SECTION, F.array(F.lit("short_section"))).otherwise(F.array().cast("array<string>"))).otherwise(F.when(n > max_chars, F.array(F.lit("split_long_section"), F.lit("oversized_chunk"))).otherwise(F.array(F.lit("split_long_section"))))
     order = W.partitionBy("page_url").orderBy("section_order", "part")

@@ -97,7 +97,7 @@ def page_signals(pages: DataFrame, chunks: DataFrame | None = None) -> DataFrame
         over = F.coalesce(F.transform("__big", lambda c: _signal("oversized_chunk", evidence=c["chunk_text"], section=c["section_id"], chunk=c["chunk_id"], text_length=c["text_length"])), F.array().cast(_ARRAY))
     else:
         over = F.array().cast(_ARRAY)
-    cand = F.filter(F.flatten(F.transform("__secs", lambda s: tx.sentences(s["t"]))), lambda x: F.length(x) >= REPEAT_MIN)
+    cand = F.filter(F.flatten(F.transform("__secs", lambda s: tx.plain_sentences(s["t"]))), lambda x: F.length(x) >= REPEAT_MIN)
     heads = F.transform(F.filter("__secs", lambda s: s["heading"] != ""), lambda s: tx.repetition_key(s["heading"]))
     df = computed(df, __low=F.lower("__full"), __cand=cand, __titles=heads)
     df = computed(df, __keys=F.transform("__cand", tx.repetition_key))
@@ -117,7 +117,7 @@ def page_signals(pages: DataFrame, chunks: DataFrame | None = None) -> DataFrame
         _some((F.size(vague) > 0, _signal("vague_marketing_language", evidence=F.get(vague, F.lit(0)), phrases=vague))),
         _some((F.size("__heads") > 0, _signal("repeated_heading", evidence=F.get("__heads", F.lit(0)), headings=F.col("__heads"))), (F.size("__phrases") > 0, _signal("repeated_phrase", evidence=F.get("__phrases", F.lit(0)), phrases=F.slice("__phrases", 1, 5)))),
     )
-    df = df.select(F.col("url").alias("page_url"), found.alias("__found"))
+    df = computed(df, __found=found).select(F.col("url").alias("page_url"), "__found")
     return df.select("page_url", F.posexplode("__found").alias("signal_ord", "s")).select("page_url", "signal_ord", "s.*")
 
 
