@@ -213,7 +213,7 @@ def frequent_ngrams(docs: DataFrame, k: int) -> np.ndarray:
                 for tokens in doc_sets(s.column(0), k):
                     held.append(tokens)
                     size += len(tokens)
-                    if size > 4_000_000:
+                    if size > 2_000_000:
                         flush()
                         size = 0
         if held:

@@ -101,7 +101,7 @@ class Block:
         return [self.whole[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
 
 
-def text_blocks(texts: Sequence[str | None], limit: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
+def text_blocks(texts: Sequence[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """(index of the first, texts) for blocks of whole texts; null is an empty text."""
     held, size, first = [], 0, 0
     for i, t in enumerate(texts):
@@ -135,7 +135,7 @@ class Encoder:
     most ``keep`` pieces, which then starts anew.  special: strings that are one id wherever they occur.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], special: dict[str, int] | None = None, keep: int = 2_000_000):
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], special: dict[str, int] | None = None, keep: int = 600_000):
         self.encode_new, self.special, self.keep = encode_new, special or {}, keep
         self._reset()
 
