@@ -14,7 +14,12 @@ Character references are decoded, white space inside a line becomes one space, l
 one space.  Nothing is capped.
 
 Edge cases: null, empty and markup-only pages give an empty text.  Unclosed or truncated elements end
-with their parent or the page; a tag cut off at the end of the page is dropped.  Repeated rows are done one by one.
+with their parent or the page, elements whose end tag may be left out also with the next one; a tag cut off at the end
+of the page is dropped.  Repeated rows are done one by one.
+
+An element is noise by its tag, a hidden state, or words of its class, id and role: outside the main element also by a part of
+a name (ad-slot), inside it by whole class tokens and roles.  Headings are no noise by name, nor is an
+element that holds most of the page's text by a part of a name, nearly all by a whole one, or all of it.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ WINDOW = 3
 THRESHOLD = 86
 RAW = "script|style|noscript|template|textarea|title|iframe|object|canvas|svg|math|xmp|noembed|noframes"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b[^>]*/>|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?(?P<odd>[a-zA-Z][a-zA-Z0-9:-]*)[^<>]*>|<[!?/][^>]*>|<[a-zA-Z!/?][^<>]*\Z",
     re.S | re.I,
@@ -44,42 +49,93 @@ DROPPED = frozenset("nav footer aside form menu head button select dialog".split
 MAIN = frozenset(("article", "main"))
 #: Words of class, id and role that mark what is not the article.
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond reply replies discussion disqus share sharing social related recommended recommendations newsletter subscribe signup login popup modal overlay widget widgets toolbar pagination pager search complementary contentinfo masthead topbar".split())
+COMMENTS = frozenset("comment comments commentlist respond reply replies disqus".split())
+#: Words of names that speak of noise elsewhere, as has-sidebar.
+STATES = frozenset("has no with without".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Noise by a part of a name, by a whole name, by a whole name of comments, by the element itself.
+WEAK, STRONG, LAST, SURE = 1, 2, 3, 4
+#: Scans of a page in search of wrappers that are named like noise.
+WRAPPERS = 4
+_P_ENDS = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
+_CELLS = frozenset(("td", "th", "tr", "tbody", "tfoot", "thead"))
+#: Elements whose end tag may be left out, with the start tags that end them.
+CLOSED_BY = {"p": _P_ENDS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "td": _CELLS, "th": _CELLS, "tr": _CELLS - {"td", "th"}, "tbody": frozenset(("tbody", "tfoot", "thead")), "thead": frozenset(("tbody", "tfoot")), "option": frozenset(("option", "optgroup"))}
 OWN_HEADER = frozenset("article entry post content story page title".split())
 _WORDS = re.compile(r"[a-z0-9]+")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
 @lru_cache(maxsize=4096)
-def is_noise(name: str, attrs: str) -> bool:
-    """Whether an element by its name and attributes holds no article text."""
+def noise_kind(name: str, attrs: str, inside: bool = False) -> int:
+    """Whether an element by its name and attributes holds no article text: 0 no, else WEAK, STRONG or SURE.
+
+    In the main element (``inside``) whole class tokens and roles count only; names of headings never do.
+    """
     if name in DROPPED:
-        return True
+        return SURE
     if name in ("html", "body"):
-        return False
+        return 0
+    kind = 0
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), next((v for v in values if v), "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return SURE
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+                return SURE
+            continue
+        if name in HEADINGS or (inside and key == "id"):
             continue
-        words = set(_WORDS.findall(value))
-        if words & NOISE or ("header" in words and not words & OWN_HEADER and name not in MAIN):
-            return True
         if key == "role" and value == "banner":
-            return True
-    return False
+            kind = max(kind, STRONG)
+        for token in value.split():
+            words = set(_WORDS.findall(token))
+            if token in NOISE:
+                kind = max(kind, LAST if token in COMMENTS else STRONG)
+            elif not inside and not words & STATES and words & NOISE:
+                kind = max(kind, WEAK)
+        words = set(_WORDS.findall(value))
+        if "header" in words and not words & OWN_HEADER and name not in MAIN and (not inside or "header" in value.split()):
+            kind = max(kind, WEAK)
+    return kind
+
+
+def _is_wrapper(kind: int, held: int, total: int, inside: bool, main: int) -> bool:
+    """Whether an element that is noise by its names holds so much of the page that it is a wrapper of the text."""
+    if kind == WEAK:
+        return 2 * held > total
+    return held == total or (kind == STRONG and 4 * held > 3 * total and (inside or not main))
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """((text, length without link text, in the main element) of each line, whether there is a main element)."""
+    spared: set[int] = set()
+    for _ in range(WRAPPERS):
+        lines, has_main, dropped = _scan(page, spared, SURE)
+        main = sum(len(t) for t, _, inside in lines if inside)
+        total = sum(len(t) for t, _, _ in lines) + sum(held for _, _, held, _ in dropped)
+        more = {at for at, kind, held, inside in dropped if held and _is_wrapper(kind, held, total, inside, main)}
+        if not more:
+            return lines, has_main
+        spared |= more
+    return _scan(page, spared, 0)[:2]  # wrappers within wrappers: such names say nothing on this page
+
+
+def _scan(page: str, spared: set[int], trusted: int) -> tuple[list[tuple[str, int, bool]], bool, list[tuple[int, int, int, bool]]]:
+    """Lines, whether there is a main element, and (place, kind, text length, in the main element) of what was dropped by names.
+
+    Elements that start at ``spared`` are not dropped by names; none is if trusted is 0.
+    """
     out: list[tuple[str, int, bool]] = []
+    dropped: list[tuple[int, int, int, bool]] = []
     parts: list[str] = []
-    link = inside = 0
-    has_main = False
+    link = inside = held = 0
+    has_main = in_link = False
+    opened: list[str] = []  # the open elements around the text, by the names that matter
+    count: dict[str, int] = {}
     open_noise: list[str] = []  # the noise element, and what is in it by the names that matter
-    in_link = False
+    root = (0, SURE, False)
 
     def close() -> None:
         nonlocal link
@@ -89,11 +145,31 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         link = 0
 
     def text(a: int, b: int) -> None:
-        nonlocal link
-        if a < b and not open_noise:
-            parts.append(page[a:b])
-            if in_link:
-                link += len(" ".join(_html.unescape(page[a:b]).split()))
+        nonlocal link, held
+        if a >= b:
+            return
+        if open_noise:
+            held += len(" ".join(page[a:b].split()))
+            return
+        parts.append(page[a:b])
+        if in_link:
+            link += len(" ".join(_html.unescape(page[a:b]).split()))
+
+    def end_noise() -> None:
+        open_noise.clear()
+        if root[1] < SURE:
+            dropped.append((root[0], root[1], held, root[2]))
+
+    def noise_of(name: str, attrs: str, at: int) -> int:
+        kind = SURE if name == "header" and not inside else noise_kind(name, attrs, inside > 0)
+        return 0 if kind < SURE and (not trusted or at in spared) else kind
+
+    def leave(name: str) -> None:
+        while opened:
+            last = opened.pop()
+            count[last] -= 1
+            if last == name:
+                return
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -104,23 +180,40 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             continue
         name, end, attrs = name.lower(), bool(m["end"]) or m[0].startswith("</"), m["attrs"] or ""
         if open_noise:
-            if not end and (name == "body" or (name in MAIN and not has_main and not is_noise(name, attrs))):
-                open_noise.clear()  # an unclosed container does not swallow the article
+            if not end and (name == "body" or (name in MAIN and not has_main and not noise_of(name, attrs, m.start()))):
+                end_noise()  # an unclosed container does not swallow the article
             elif end and (name in ("body", "html") or (name in MAIN and inside and name not in open_noise)):
-                open_noise.clear()  # nor what follows its parent
-            else:
-                if end and name in open_noise:
-                    while open_noise.pop() != name:
-                        pass
-                    if not open_noise:
-                        close()
-                elif not end and (name in MAIN or name in open_noise) and name not in VOID and not attrs.endswith("/"):
-                    open_noise.append(name)
+                end_noise()  # nor what follows its parent
+            elif end and name in open_noise:
+                while open_noise.pop() != name:
+                    pass
+                if not open_noise:
+                    end_noise()
+                    close()
                 continue
-        if not end and name not in VOID and (is_noise(name, attrs) or (name == "header" and not inside)):
+            elif end:
+                if not count.get(name):
+                    continue
+                end_noise()  # the end of an element around it
+                close()
+            else:
+                while open_noise and name in CLOSED_BY.get(open_noise[-1], ()):
+                    open_noise.pop()
+                if open_noise:
+                    if (name in BLOCKS or name in open_noise) and name not in VOID and not attrs.endswith("/"):
+                        open_noise.append(name)
+                    continue
+                end_noise()  # an end tag that may be left out
+                close()
+        if not end:
+            while opened and name in CLOSED_BY.get(opened[-1], ()):
+                count[opened.pop()] -= 1
+        kind = 0 if end or name in VOID else noise_of(name, attrs, m.start())
+        if kind:
             close()
             if not attrs.endswith("/"):
                 open_noise.append(name)
+                root, held = (m.start(), kind, inside > 0), 0
             continue
         if name == "a":
             in_link = not end
@@ -130,9 +223,16 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             if name in MAIN:
                 inside = inside + 1 if not end else max(0, inside - 1)
                 has_main = True
+            if end and count.get(name):
+                leave(name)
+            elif not end and name not in VOID and not attrs.endswith("/"):
+                opened.append(name)
+                count[name] = count.get(name, 0) + 1
     text(at, len(page))
     close()
-    return out, has_main
+    if open_noise:
+        end_noise()
+    return out, has_main, dropped
 
 
 def main_text(page: str | None, *, window: int = WINDOW, threshold: int = THRESHOLD) -> str:

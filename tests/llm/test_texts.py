@@ -265,3 +265,22 @@ def test_words_of_a_block(texts):
                 own = [w.text(i).decode("utf-8", "replace").translate(LOW) for i in range(w.first[d - a], w.first[d - a + 1])]
                 assert own == re.findall(pattern, texts[d].translate(LOW))
     assert pieces.classes()[ord(" ")] == pieces.SPACE
+
+
+LONG = "Long sentences of the article stand here and go on for a while. " * 4
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<article><p>a</p><section id=discussion><h2 id=related-work>b</h2><p>c</p></section><h2 class=cookies>d</h2><div class=social-history>e</div></article>", "a b c d e"),
+    ("<article><p>a</p><div class='box share'>s</div><p>b</p></article>", "a b"),
+    (f"<div class=content-sidebar-wrap><p>{LONG}</p></div>", LONG.strip()),
+    (f"<div class=search><div id=related><div class=social><p>{LONG}</p></div></div></div>", LONG.strip()),
+    (f"<div class=site-footer>f</div><div class=has-sidebar><p>{LONG}</p></div><div id=left-sidebar>s</div>", LONG.strip()),
+    ("<article><p class=ad>x<p>real<p>more</article>", "real more"),
+    ("<article><ul><li class=share>x<li>y<li class=share>z</ul><p>real</p></article>", "y real"),
+    ("<article><div><span class=ad>x</div><p>real</p></article>", "real"),
+    ("<article><ul><li class=share>x<ul><li>y</ul>z<li>real</ul></article>", "real"),
+    ("<article><p>a <svg viewBox='0 0 1 1'/> b</p><p><math/>c<svg><text>no</text></svg></p></article>", "a b c"),
+])
+def test_noise_of_main_text(page, text):
+    assert html_extract.main_text(page) == text
