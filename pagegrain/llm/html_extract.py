@@ -7,8 +7,10 @@
 3. Surge: a window over the threshold that begins with a non-empty line.  Dive: the end of the run of
    windows over zero.  The text between surge and dive is kept, and a surge takes
    with it the non-empty lines directly above.
-4. Pages that mark their main element (article or main) have its lines only: others are empty, and the
-   threshold is one character, so that short paragraphs of an article are never lost.
+4. Main element: where a page marks one (article or main), its text weighs ``MAIN_WEIGHT`` times, link text
+   included, against the largest surge outside.  If it weighs as much, surges are sought among its lines only;
+   if not (a teaser beside unmarked text), the mark is ignored and all lines count alike.
+5. If no window reaches the threshold, it is lowered to the largest window.
 
 Character references are decoded, white space inside a line becomes one space, lines are joined by
 one space.  Nothing is capped.
@@ -36,6 +38,7 @@ from . import rows, workspace
 
 WINDOW = 3
 THRESHOLD = 86
+MAIN_WEIGHT = 3
 RAW = "script|style|noscript|template|textarea|title|iframe|object|canvas|svg|math|xmp|noembed|noframes"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b[^>]*/>|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -235,26 +238,14 @@ def _scan(page: str, spared: set[int], trusted: int) -> tuple[list[tuple[str, in
     return out, has_main, dropped
 
 
-def main_text(page: str | None, *, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
-    """The text between surge and dive points of a page."""
-    if not page:
-        return ""
-    lines, has_main = lines_of(page)
-    if has_main and any(t for t, _, inside in lines if inside):
-        size = [len(t) if inside else 0 for t, _, inside in lines]
-        threshold, keep = 1, [bool(t) and inside for t, _, inside in lines]
-    else:
-        size, keep = [n for _, n, _ in lines], [bool(t) for t, _, _ in lines]
-        lines = [x for x, k in zip(lines, keep, strict=True) if k]  # empty lines between blocks are markup, not gaps
-        size, keep = [n for n, k in zip(size, keep, strict=True) if k], [True] * len(lines)
+def surges(size: list[int], window: int, threshold: int) -> list[tuple[int, int]]:
+    """(from, to) of the text between surge and dive points, for the sizes of non-empty lines."""
     n = len(size)
     upto = [0]
     for s in size:
         upto.append(upto[-1] + s)
     block = [upto[min(i + window, n)] - upto[i] for i in range(n)]
-    if block and max(block) < threshold:
-        threshold = max(1, max(block))
-    kept, i = [], 0
+    found, i = [], 0
     while i < n:
         if not (size[i] and block[i] >= threshold):
             i += 1
@@ -264,8 +255,28 @@ def main_text(page: str | None, *, window: int = WINDOW, threshold: int = THRESH
             a -= 1
         while i < n and block[i]:
             i += 1
-        kept += [t for (t, _, _), k in zip(lines[a:i], keep[a:i], strict=True) if k]
-    return " ".join(kept)
+        found.append((a, i))
+    return found
+
+
+def _lowered(size: list[int], window: int, threshold: int) -> int:
+    """The threshold, or the largest window where none reaches it."""
+    most = max((sum(size[i:i + window]) for i in range(len(size))), default=0)
+    return min(threshold, max(1, most))
+
+
+def main_text(page: str | None, *, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
+    """The text between surge and dive points of a page."""
+    if not page:
+        return ""
+    lines, _ = lines_of(page)
+    lines = [x for x in lines if x[0]]  # empty lines between blocks are markup, not gaps
+    inside, outside = [len(t) for t, _, main in lines if main], [n for _, n, main in lines if not main]
+    most = max((sum(outside[a:b]) for a, b in surges(outside, window, threshold)), default=0)
+    size = [n for _, n, _ in lines]
+    if inside and MAIN_WEIGHT * sum(inside) >= most:
+        size, lines = inside, [x for x in lines if x[2]]
+    return " ".join(t for a, b in surges(size, window, _lowered(size, window, threshold)) for t, _, _ in lines[a:b])
 
 
 FIELDS = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]

@@ -284,3 +284,11 @@ LONG = "Long sentences of the article stand here and go on for a while. " * 4
 ])
 def test_noise_of_main_text(page, text):
     assert html_extract.main_text(page) == text
+
+
+def test_main_element_is_a_prior():
+    card = "<article class=card><h3>Teaser</h3><p>Read this too.</p></article>"
+    assert LONG.strip() in html_extract.main_text(f"<div><p>{LONG}</p></div>{card}")
+    assert html_extract.main_text(f"<div>{LONG[:90]}</div><article><h1>T</h1><p>{LONG}</p><p>End.</p></article><div>after</div>") == f"T {LONG.strip()} End."
+    poem = "".join(f"<p>line {i}</p>" for i in range(12))
+    assert html_extract.main_text(f"<p>{LONG[:100]}</p><article>{poem}</article>") == " ".join(f"line {i}" for i in range(12))
