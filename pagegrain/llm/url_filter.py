@@ -23,8 +23,20 @@ from pyspark.sql import types as T
 
 from . import rows, workspace
 
-STRICT = ("adult", "porn", "porno", "xxx", "hardcore", "escort", "escorts", "camgirls", "casino", "viagra", "warez", "malware", "phishing", "spam")
-SOFT = {"sexy": 1, "dating": 1, "poker": 1, "bet": 1, "bets": 1, "betting": 1, "slots": 1, "bonus": 1, "jackpot": 1, "payday": 1, "loan": 1, "loans": 1, "pills": 1, "pharmacy": 1, "torrent": 1, "crack": 1, "keygen": 1, "hack": 1, "cheap": 1, "replica": 1, "free": 1, "win": 1}
+STRICT = (
+    "adult", "porn", "porno", "pornos", "pornography", "xxx", "hardcore", "hentai", "milf", "nsfw", "escort", "escorts", "camgirl", "camgirls", "sexcam", "sexcams", "livesex",
+    "casino", "casinos", "viagra", "cialis", "warez", "malware", "phishing", "spam", "spammer", "adserver", "adservers", "adserving", "adclick", "doubleclick", "clickbank",
+)
+SOFT = dict.fromkeys((
+    "sex", "sexy", "erotic", "erotica", "nude", "nudes", "dating", "hookup", "webcam", "webcams",
+    "poker", "bet", "bets", "betting", "gambling", "roulette", "blackjack", "bingo", "lottery", "slot", "slots", "bonus", "jackpot", "win", "winner", "prize", "prizes",
+    "payday", "loan", "loans", "forex",
+    "pill", "pills", "pharmacy", "steroids", "weightloss", "torrent", "torrents", "crack", "cracked", "cracks", "keygen", "hack", "hacks",
+    "cheap", "replica", "replicas", "free", "freebie", "freebies",
+    "ad", "ads", "adv", "advert", "adverts", "advertising", "banner", "banners", "popup", "popups", "popunder", "sponsor", "sponsored", "affiliate", "affiliates",
+    "track", "tracker", "trackers", "tracking", "click", "clicks", "clicktrack",
+    "seo", "backlink", "backlinks", "linkfarm", "spyware", "adware", "scam",
+), 1)
 SOFT_LIMIT = 2
 RULES = (
     ("allow", "org", "/"),

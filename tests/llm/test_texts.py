@@ -292,3 +292,9 @@ def test_main_element_is_a_prior():
     assert html_extract.main_text(f"<div>{LONG[:90]}</div><article><h1>T</h1><p>{LONG}</p><p>End.</p></article><div>after</div>") == f"T {LONG.strip()} End."
     poem = "".join(f"<p>line {i}</p>" for i in range(12))
     assert html_extract.main_text(f"<p>{LONG[:100]}</p><article>{poem}</article>") == " ".join(f"line {i}" for i in range(12))
+
+
+def test_advert_hosts(spark):
+    rows = [(1, "https://m.ads-track.example.net/x"), (2, "https://adserver.site.net/a"), (3, "https://ads.site.net/tracking/1"), (4, "https://track.site.net/parcel"), (5, "https://ads.site.net/contact"), (6, "https://downloads.site.net/soundtrack"), (7, "https://click.site.net/banner?x"), (8, None)]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id int, url string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "allow"}
