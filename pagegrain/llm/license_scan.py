@@ -20,7 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import workspace
+from . import license_texts, workspace
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_BROADCAST_ROWS = 10_000
@@ -39,6 +39,10 @@ KNOWN = {
     "BSD": ["Released under the BSD License."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
 }
+for _name, _texts in license_texts.variants().items():
+    KNOWN[_name] = [*KNOWN.get(_name, []), *_texts]
+KNOWN["MIT"] += [f"{head}\n{KNOWN['MIT'][1]}" for head in ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)")]
+KNOWN["ISC"] += [f"{head}\n{KNOWN['ISC'][0]}" for head in ("ISC License", "The ISC License", "ISC License (ISC)")]
 
 
 def _canonical_line(line: Column) -> Column:

@@ -298,3 +298,14 @@ def test_advert_hosts(spark):
     rows = [(1, "https://m.ads-track.example.net/x"), (2, "https://adserver.site.net/a"), (3, "https://ads.site.net/tracking/1"), (4, "https://track.site.net/parcel"), (5, "https://ads.site.net/contact"), (6, "https://downloads.site.net/soundtrack"), (7, "https://click.site.net/banner?x"), (8, None)]
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id int, url string")).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "allow"}
+
+
+def test_entire_licenses(spark):
+    texts, bsd = license_scan.license_texts.TEXTS, license_scan.license_texts.TEXTS["BSD-3-Clause"]
+    isc = license_scan.KNOWN["ISC"][0]
+    two = bsd[:bsd.index("3. Neither")] + bsd[bsd.index("THIS SOFTWARE IS"):]
+    mit = "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + license_scan.KNOWN["MIT"][1]
+    rows = [(k.split(" ")[0], t.upper()) for k, t in texts.items()] + [("MIT", mit), ("ISC", f"ISC License\n\nCopyright (c) 2020 A\n\n{isc}")]
+    rows += [("BSD-2-Clause", f"BSD 2-Clause License\n\nCopyright (c) 2020, A\nAll rights reserved.\n\n{two}"), ("Apache-2.0", texts["Apache-2.0"].split("APPENDIX")[0]), (None, texts["GPL-3.0"][:-200])]
+    got = license_scan.scan(spark.createDataFrame(rows, "expected string, text string")).select("expected", "license").collect()
+    assert [r["license"] for r in got] == [r["expected"] for r in got] and len(got) == len(rows)
