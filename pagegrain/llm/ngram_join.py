@@ -323,6 +323,18 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         state = now
 
 
+def _texts_without_id(docs: DataFrame, k: int, seed: int) -> DataFrame:
+    """(node, text) of the classes that have rows with a null doc_id, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in (s for whole in batches for s in textscan.slices(whole, 0)):
+            nodes = [digest(tokens, seed)[0] if len(tokens) else None for tokens in doc_sets(x.column(0), k)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), x.column(0).cast(pa.string())], names=["node", "text"])
+
+    found = docs.where("doc_id is null").select("text").mapInArrow(run, "node long, text string")
+    return found.where("node is not null").dropDuplicates(["node"])
+
+
 def verified_edges(docs: DataFrame, classes: DataFrame, trees: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
     """(a, b): a forest of the pairs that are linked indeed, within the candidate components."""
     member = trees.join(classes.select("node", "n", "first_id"), "node")
@@ -331,6 +343,8 @@ def verified_edges(docs: DataFrame, classes: DataFrame, trees: DataFrame, k: int
     pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j"))))
     wanted = member.join(load, "root").select("root", "node", "first_id", pairs.alias("pairs"))
     texts = docs.join(wanted, docs["doc_id"] == wanted["first_id"]).select("root", F.explode("pairs").alias("p"), "node", "text")
+    nameless = _texts_without_id(docs, k, seed).join(wanted.where("first_id is null"), "node").select("root", F.explode("pairs").alias("p"), "node", "text")
+    texts = texts.unionByName(nameless)
     placed = texts.select("root", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -143,3 +143,10 @@ def test_oracle(spark, sf, name):
     assert sorted(df.columns) == order
     assert sorted(repr([r[c] for c in order]) for r in df.collect()) == sorted(repr([r[names.index(c)] for c in order]) for r in rows)
 
+
+
+def test_links_through_a_row_without_id(spark):
+    w = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(w)), (None, " ".join(w[6:] + [f"x{i}" for i in range(6)])), (None, None), (2, " ".join(w[12:] + [f"x{i}" for i in range(12)]))]
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_shingles"]}
+    assert got == {(1, 1), (None, 1), (2, 1)}
