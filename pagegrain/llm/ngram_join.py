@@ -4,44 +4,54 @@ Two documents are linked when the Jaccard similarity of their sets of word n-gra
 ``num / den``.  The result is exact: one row per document with the smallest id it is linked to,
 directly or through others.
 
-1. Sets.  Each text becomes a sorted array of distinct 64-bit n-gram hashes.  Texts with equal sets are one
-   *class* (128-bit digest of the set), so exact copies, however many, cost one entry.
+1. Sets.  Each text becomes a sorted array of distinct 64-bit n-gram hashes, made of 128-bit hashes of its words.
+   Texts with equal sets are one *class* (128-bit digest of the set), so exact copies, however many, cost one entry.
 2. Tiles.  A linked pair must share one of the first ``n - ceil(t n) + 1`` n-grams of both sets in any fixed
    order.  The order here is by hash, with n-grams frequent in the corpus last.  A tile is such an n-gram and a size
    band: sets of one power of two, and those a little smaller that can still reach it.  Tiles
-   with one set are dropped; tiles over ``BLOCK`` sets are dealt into pairs of blocks.
-3. Bitmaps.  In a tile, ``n_x - popcount(x & ~y)`` bounds the overlap from above; pairs whose bound is too small
+   with one set are dropped.  Tiles of a band that have the same smallest member (its key is a hash, so this is a
+   min-hash of the tile) are one group: near copies share most of their tiles, but a set's bitmap
+   travels once for each group it is in, not once for each n-gram.  Groups over ``BLOCK`` sets or ``BLOCK_GRAMS``
+   n-grams are dealt into pairs of blocks.
+3. Bitmaps.  In a group, ``n_x - popcount(x & ~y)`` bounds the overlap from above; pairs whose bound is too small
    are no candidates.  Only a spanning forest of the candidates leaves a task.
 4. Candidate components are joined to their texts (each text travels once, or once per block of a very large
-   component) and verified: exact intersections of the sorted arrays, visiting each set once per
-   connected component found.  Verified links make the final components.
+   component) and verified: exact intersections of sorted arrays, visiting each set once per
+   connected component found.  The arrays hold numbers that stand for the n-grams' words themselves, so no hash
+   takes part in this decision.  Verified links make the final components.
 
 Pairs of one group are never all emitted: a set that is found connected is not compared again.  Broadcast: only the frequent
 n-grams, at most ``MAX_FREQUENT``.  They change the order of n-grams, never the result.
 
+Hashes: equal n-grams have equal hashes, so no link is lost by them.  Set sizes and classes would be wrong only for two
+n-grams of one text, or two sets, with equal hashes of 64 or 128 bits; ``seed`` chooses other hashes.
+
 Limit: within one family of linked, pairwise different texts of more than ``BLOCK_TOKENS`` n-grams, blocks
 are compared pair by pair.
 
 Edge cases: null, empty and word-less texts have no n-grams, are linked with nothing and are a component of their own;
-fewer than n words are one n-gram.  A repeated id is a row of its own.  Two different sets of one 64-bit
+fewer than n words are one n-gram.  A repeated id is a row of its own; rows without an id link like others, and a
+component without any id has none.  Two different sets of one 64-bit
 class key (to be expected beyond some 10^9 different texts) raise an error that asks for another seed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textscan, workspace
 
 N_WORDS = 4
 NUM, DEN = 85, 100
 BLOCK = 2048
+BLOCK_GRAMS = 1 << 25
 BLOCK_TOKENS = 500_000
 MAX_FREQUENT = 200_000
 FREQUENT_PER = 2000
@@ -49,19 +59,30 @@ LONG = 4096
 WIDE_BITS = 1 << 17
 
 
-def doc_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+def _per_text(w: textscan.Words, k: int, grams: np.ndarray, short) -> Iterator[np.ndarray]:
+    """Sorted distinct n-grams of each text; short: that of a text of fewer words, from its first and last."""
+    first = w.first.tolist()
+    for lo, hi in zip(first[:-1], first[1:], strict=True):
+        if hi - lo >= k:
+            yield np.unique(grams[lo:hi - k + 1])
+        else:
+            yield short(lo, hi) if hi > lo else grams[:0]
+
+
+def hashed_sets(w: textscan.Words, k: int, seed: int) -> Iterator[np.ndarray]:
+    one, two = w.wide(seed)
+    return _per_text(w, k, textscan.windows(one, k, two), lambda lo, hi: textscan.windows(one[lo:hi], hi - lo, two[lo:hi]))
+
+
+def exact_sets(w: textscan.Words, k: int) -> Iterator[np.ndarray]:
+    """Sets of numbers that only equal n-grams share.  A text of fewer than k words shares its only one with no other class."""
+    return _per_text(w, k, textscan.exact_windows(w.number, k).astype(np.uint64), lambda lo, hi: np.array([(1 << 63) + lo], np.uint64))
+
+
+def doc_sets(column: pa.Array, k: int, seed: int = 0) -> Iterator[np.ndarray]:
     """Sorted distinct n-gram hashes of each text."""
-    for a, b, w in textscan.scan(column, textscan.NON_SPACE):
-        g = textscan.windows(w.hash, k)
-        first = w.first.tolist()
-        for d in range(b - a):
-            lo, hi = first[d], first[d + 1]
-            if hi - lo >= k:
-                yield np.unique(g[lo:hi - k + 1])
-            elif hi > lo:
-                yield textscan.windows(w.hash[lo:hi], hi - lo)
-            else:
-                yield np.zeros(0, np.uint64)
+    for _, _, w in textscan.scan(column, textscan.NON_SPACE):
+        yield from hashed_sets(w, k, seed)
 
 
 def digest(tokens: np.ndarray, seed: int) -> tuple[int, int]:
@@ -194,7 +215,7 @@ def _whole(parts: list[pa.RecordBatch]) -> list[pa.Array]:
     return [c.combine_chunks() for c in pa.Table.from_batches(parts).columns]
 
 
-def frequent_ngrams(docs: DataFrame, k: int) -> np.ndarray:
+def frequent_ngrams(docs: DataFrame, k: int, seed: int) -> np.ndarray:
     """Hashes of n-grams that are in more than 1 of ``FREQUENT_PER`` texts, as far as tasks of their own see."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +231,7 @@ def frequent_ngrams(docs: DataFrame, k: int) -> np.ndarray:
 
         for x in batches:
             for s in textscan.slices(x, 0):
-                for tokens in doc_sets(s.column(0), k):
+                for tokens in doc_sets(s.column(0), k, seed):
                     held.append(tokens)
                     size += len(tokens)
                     if size > 2_000_000:
@@ -226,9 +247,11 @@ def frequent_ngrams(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def class_rows(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray, seed: int) -> DataFrame:
-    """(doc_id, n, node, node_check, bits, prefix) of each document; node is null without n-grams."""
+    """(doc_id, n, node, node_check, bits, prefix) of each document and the other columns; node is null without n-grams."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
-    names = ["doc_id", "n", "node", "node_check", "bits", "prefix"]
+    carried = docs.drop("doc_id", "text").schema.fields
+    names = ["doc_id", "n", "node", "node_check", "bits", "prefix", *[f.name for f in carried]]
+    schema = T.StructType([*workspace.long_fields(*names[:4]), T.StructField("bits", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())), *carried])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = held.value
@@ -236,7 +259,7 @@ def class_rows(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray
         table[(last & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         for x in (s for whole in batches for s in textscan.slices(whole, 1)):
             cols: list[list] = [[], [], [], [], []]
-            for tokens in doc_sets(x.column(1), k):
+            for tokens in doc_sets(x.column(1), k, seed):
                 n = len(tokens)
                 if not n:
                     for c, v in zip(cols, (0, None, None, None, None), strict=True):
@@ -252,9 +275,10 @@ def class_rows(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray
                 node, check = digest(tokens, seed)
                 for c, v in zip(cols, (n, node, check, bitmap(tokens, num, den), order[:n - -(-num * n // den) + 1].view(np.int64)), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([x.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]], names=names)
+            made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column(0), *made, *x.columns[2:]], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, node_check long, bits binary, prefix array<long>")
+    return docs.mapInArrow(run, schema)
 
 
 def classes_of(sets: DataFrame) -> DataFrame:
@@ -264,17 +288,30 @@ def classes_of(sets: DataFrame) -> DataFrame:
     return one.select(same.alias("node"), "n", "first_id", "bits", "prefix")
 
 
-def candidate_edges(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): a forest over class nodes that has every linked pair in one tree."""
+def _block_pairs(blocks: Column, node: str = "node") -> Column:
+    """The pairs (i, j) of blocks that a member of a group takes part in: one if the group has one block only."""
+    mine = F.pmod(F.xxhash64(node), blocks.cast("long")).cast("int")
+    dealt = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
+    return F.when(blocks == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(dealt)
+
+
+def tile_groups(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(band, centre, i, j, node): who is compared with whom, each once.  No set's bitmap takes part yet."""
     band = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     upper = F.when(den * F.col("n") >= F.lit(num) * F.pow(F.lit(2.0), band + 1), F.array(band, band + 1)).otherwise(F.array(band))
     posts = classes.select("node", F.explode("prefix").alias("token"), upper.alias("bands")).select("node", "token", F.explode("bands").alias("band"))
-    count = posts.groupBy("token", "band").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    shared = posts.join(count, ["token", "band"]).select("node", "token", "band", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j"))))
-    dealt = shared.select("node", "token", "band", F.explode(pairs).alias("p")).join(classes.select("node", "n", "bits"), "node")
-    tiles = dealt.select("token", "band", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "n", "bits").repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j")
+    tiles = posts.groupBy("token", "band").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("centre")).where("sets > 1").drop("sets")
+    member = posts.join(tiles, ["token", "band"]).select("band", "centre", "node").distinct()
+    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK, F.col("sets") * F.pow(F.lit(2.0), F.col("band") + 1) / BLOCK_GRAMS)).cast("int")
+    large = member.groupBy("band", "centre").agg(F.count(F.lit(1)).alias("sets")).select("band", "centre", blocks.alias("blocks")).where("blocks > 1")
+    dealt = member.join(large, ["band", "centre"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return dealt.select("band", "centre", F.explode(_block_pairs(F.col("blocks"))).alias("p"), "node").select("band", "centre", "p.i", "p.j", "node")
+
+
+def candidate_edges(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): a forest over class nodes that has every linked pair in one tree."""
+    groups = tile_groups(classes, num, den).join(classes.select("node", "n", "bits"), "node").select("band", "centre", "i", "j", "node", "n", "bits")
+    tiles = groups.repartition("band", "centre", "i", "j").sortWithinPartitions("band", "centre", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -328,7 +365,7 @@ def _texts_without_id(docs: DataFrame, k: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in (s for whole in batches for s in textscan.slices(whole, 0)):
-            nodes = [digest(tokens, seed)[0] if len(tokens) else None for tokens in doc_sets(x.column(0), k)]
+            nodes = [digest(tokens, seed)[0] if len(tokens) else None for tokens in doc_sets(x.column(0), k, seed)]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), x.column(0).cast(pa.string())], names=["node", "text"])
 
     found = docs.where("doc_id is null").select("text").mapInArrow(run, "node long, text string")
@@ -339,9 +376,7 @@ def verified_edges(docs: DataFrame, classes: DataFrame, trees: DataFrame, k: int
     """(a, b): a forest of the pairs that are linked indeed, within the candidate components."""
     member = trees.join(classes.select("node", "n", "first_id"), "node")
     load = member.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j"))))
-    wanted = member.join(load, "root").select("root", "node", "first_id", pairs.alias("pairs"))
+    wanted = member.join(load, "root").select("root", "node", "first_id", _block_pairs(F.col("blocks")).alias("pairs"))
     texts = docs.join(wanted, docs["doc_id"] == wanted["first_id"]).select("root", F.explode("pairs").alias("p"), "node", "text")
     nameless = _texts_without_id(docs, k, seed).join(wanted.where("first_id is null"), "node").select("root", F.explode("pairs").alias("p"), "node", "text")
     texts = texts.unionByName(nameless)
@@ -350,10 +385,12 @@ def verified_edges(docs: DataFrame, classes: DataFrame, trees: DataFrame, k: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for cols in _stream(batches, 3):
+            raw, offs = textscan.string_buffers(cols[4])
+            w = textscan.Words(raw[offs[0]:offs[-1]], offs - offs[0], textscan.NON_SPACE)
             sets: dict[int, np.ndarray] = {}
-            for node, tokens in zip(cols[3].to_pylist(), doc_sets(cols[4], k), strict=True):
-                if node not in sets and digest(tokens, seed)[0] == node:
-                    sets[node] = tokens
+            for node, hashed, exact in zip(cols[3].to_pylist(), hashed_sets(w, k, seed), exact_sets(w, k), strict=True):
+                if node not in sets and digest(hashed, seed)[0] == node:  # an id may have other texts as well
+                    sets[node] = exact
             nodes, arrays = list(sets), list(sets.values())
             if len(nodes) < 2:
                 continue
@@ -384,21 +421,49 @@ def verified_edges(docs: DataFrame, classes: DataFrame, trees: DataFrame, k: int
     return placed.mapInArrow(run, "a long, b long")
 
 
-def join_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = N_WORDS, num: int = NUM, den: int = DEN, seed: int = 0) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+def join_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = N_WORDS, num: int = NUM, den: int = DEN, seed: int = 0, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document.
+
+    carry: other columns to have in the result, with ``component``: a key of the component that is there without an
+    id, too (null without n-grams).  They must not be named like the columns inside.
+    """
     if not den <= 2 * num <= 2 * den:
         raise ValueError("similarities from 0.5 to 1 only: size bands reach no further")
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    frequent = frequent_ngrams(docs.select("text"), k)
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *carry)
+    frequent = frequent_ngrams(docs.select("text"), k, seed)
     sets = workspace.written(class_rows(docs, k, num, den, frequent, seed), "ngram-sets")
     classes = workspace.written(classes_of(sets), "ngram-classes")
     trees = workspace.written(components(candidate_edges(classes, num, den), "ngram-candidates"), "ngram-trees")
-    links = components(verified_edges(docs, classes, trees, k, num, den, seed), "ngram-links")
+    links = components(verified_edges(docs.select("doc_id", "text"), classes, trees, k, num, den, seed), "ngram-links")
     rooted = classes.select("node", "first_id").join(links, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     rooted = workspace.written(rooted, "ngram-rooted")
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(lowest, "root").select("node", "component_id")
-    return sets.select("doc_id", "n", "node").join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = rooted.join(lowest, "root").select("node", "component_id", F.col("root").alias("component"))
+    more = [*carry, "component"] if carry else []
+    return sets.select("doc_id", "n", "node", *carry).join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the smallest id stays.
+
+    Rows are told apart by (doc_id, text): other texts of a repeated id stay, rows without an id yield to those with one,
+    equal ids to the smaller digest of the text, and of rows equal in both one stays.  Texts without n-grams all stay.  ``options``: as for join_components.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*own).alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__key"), F.col("text").alias("__text"))
+    found = join_components(keyed, doc_id="__id", text="__text", carry=["__key"], **options).where("component is not null")
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("__key").alias("key"))
+    best = found.groupBy("component").agg(F.min(rank).alias("best"))
+    rows = found.groupBy("component", F.col("doc_id").alias("id"), F.col("__key").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
+    judged = workspace.written(rows.join(best, "component").select("id", "key", "n", stays.alias("stays")).where("n > 1 or not stays"), "ngram-drops")
+    same = keyed["__id"].eqNullSafe(judged["id"]) & (keyed["__key"] == judged["key"])
+    kept = keyed.join(judged, same, "left_anti").select("__row.*")
+    repeated = judged.where("stays")
+    if repeated.isEmpty():
+        return kept
+    once = keyed.join(repeated.select(F.col("id"), F.col("key")), same, "left_semi").groupBy("__id", "__key").agg(F.first("__row").alias("__row"))
+    return kept.unionByName(once.select("__row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,22 @@
 """Vectorised scanning of Arrow string columns.
 
-Texts stay in Arrow's own UTF-8 buffer.  Words are byte runs of a 256-entry mask; every
-word gets a 64-bit polynomial hash over folded bytes, computed for all words of a block
-from one running sum.  Nothing here builds a Python object per word.
+Texts stay in Arrow's own UTF-8 buffer.  Words are byte runs of a 256-entry mask.  Two kinds of hashes:
+
+* ``Words.hash``: a 64-bit polynomial over folded bytes, for all words of a block from one running sum.
+  It is cheap, and two different words may well share it: whoever uses it compares the words, or counts on nothing.
+* ``Words.wide``: 128 bits of each word.  Arrow's dictionary finds the distinct words by their bytes,
+  each of these is hashed once (xxh3).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -31,6 +36,8 @@ def fold_table() -> np.ndarray:
 
 
 FOLD = fold_table()
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A"):ord("Z") + 1] += 32
 
 #: [^\x20\x09-\x0D]
 NON_SPACE = np.ones(256, bool)
@@ -86,14 +93,14 @@ def blocks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
 class Words:
     """Words of a block of texts.
 
-    start, end: byte positions in ``data``; hash: of the folded bytes; first: index of each
-    text's first word, with one more entry at the end.
+    start, end: byte positions in ``data``; first: index of each text's first word, with one more
+    entry at the end.  Hashes and numbers are those of the folded bytes (A-Z lower-cased).
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, mask: np.ndarray, fold: np.ndarray = FOLD):
         n = len(data)
-        self.data, self.offsets = data, offsets
-        inside = mask[data]
+        self.data, self.offsets, self._fold = data, offsets, fold
+        self._inside = inside = mask[data]
         begins = inside.copy()
         if n:
             begins[1:] &= ~inside[:-1]
@@ -107,10 +114,34 @@ class Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(stops) + 1
         self.first = np.searchsorted(self.start, offsets)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        n = len(self.data)
         up, down = _powers(n + 1)
         run = np.zeros(n + 1, U64)
-        np.cumsum(fold[data] * up[:n], out=run[1:])
-        self.hash = mix((run[self.end] - run[self.start]) * down[self.start] + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        np.cumsum(self._fold[self.data] * up[:n], out=run[1:])
+        return mix((run[self.end] - run[self.start]) * down[self.start] + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+    @cached_property
+    def _dictionary(self) -> pa.DictionaryArray:
+        size = self.end - self.start
+        wide = int(size.sum()) >= 1 << 31
+        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64 if wide else np.int32)
+        letters = LOWER[self.data[self._inside]]
+        kind = pa.large_binary() if wide else pa.binary()
+        return pa.Array.from_buffers(kind, len(size), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+
+    @property
+    def number(self) -> np.ndarray:
+        """Which distinct word each one is, told apart by their bytes."""
+        return self._dictionary.indices.to_numpy()
+
+    def wide(self, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of each word's 128-bit hash."""
+        words = self._dictionary.dictionary.to_pylist()
+        halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, seed) for w in words]), "<u8").reshape(-1, 2)
+        return halves[self.number, 0], halves[self.number, 1]
 
     def text(self, i: int) -> bytes:
         return self.data[self.start[i]:self.end[i]].tobytes()
@@ -125,19 +156,35 @@ def scan(column: pa.Array, mask: np.ndarray, limit: int = 1 << 20) -> Iterator[t
 
 
 _LANE = _rand64(64, 77003) | U64(1)
+_SECOND = _rand64(64, 91009) | U64(1)
 
 
-def windows(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of k consecutive word hashes (also those across texts)."""
+def windows(h: np.ndarray, k: int, second: np.ndarray | None = None) -> np.ndarray:
+    """Hash of every run of k consecutive word hashes (also those across texts); second: other halves of these."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
     out = np.full(n, k, U64)
     for j in range(k):
-        out += h[j:j + n] * _LANE[j]
+        out += h[j:j + n] * _LANE[j % 64]
+        if second is not None:
+            out += second[j:j + n] * _SECOND[j % 64]
     return mix(out)
 
 
+def exact_windows(number: np.ndarray, k: int) -> np.ndarray:
+    """A number for every run of k consecutive word numbers: equal runs, and only these, have the same."""
+    out, size = number.astype(np.int64), 1
+    while size < k:  # runs of ``size`` words, made longer by one that overlaps it
+        step = min(size, k - size)
+        if len(out) <= step:
+            return np.zeros(0, np.int64)
+        pair = out[:-step] * (int(out.max()) + 1) + out[step:]
+        out = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        size += step
+    return out
+
+
 def slices(batch: pa.RecordBatch, at: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of about ``limit`` bytes of its string column ``at``: what is made of a piece stays small."""
     column = batch.column(at)

@@ -82,6 +82,42 @@ def test_join_edge_rows(edge, spark):
         ngram_join.join_components(edge, num=30)
 
 
+def doubled():
+    """Two different words of 1,024 letters on which any polynomial hash modulo 2^64 of an odd base agrees."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_join_tells_colliding_words_apart(spark):
+    a, b = doubled()
+    base = [f"w{i}" for i in range(30)]
+    rows = [(1, a), (2, b), (3, b), (4, " ".join([*base, a])), (5, " ".join([a, *base])), (6, " ".join([*base[:15], a, *base[15:]])), (7, " ".join([*base[:15], b, *base[15:]]))]
+    got = Counter(map(tuple, ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows, 4, 85, 100)
+
+
+def test_maps_travel_few_times(spark):
+    """Bitmaps of near copies meet in few groups, however many n-grams their prefixes share."""
+    rows = [(i, t) for i, t in enumerate(family(2, 20000, 300, 5) + family(12, 3000, 60, 6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = workspace.written(ngram_join.class_rows(docs, 4, 85, 100, ngram_join.np.zeros(1, "u8"), 0), "test")
+    per = Counter(r["node"] for r in ngram_join.tile_groups(ngram_join.classes_of(sets), 85, 100).collect())
+    assert max(per.values()) <= 24
+    assert Counter(map(tuple, ngram_join.join_components(docs).collect())) == brute(rows, 4, 85, 100)
+
+
+def test_one_of_each(spark):
+    w = [f"w{i}" for i in range(100)]
+    near, other = " ".join(w), "quite another text of more than five words"
+    rows = [(5, near, "a"), (5, other, "b"), (3, " ".join([*w[:-1], "x"]), "c"), (3, " ".join([*w[:-1], "x"]), "d"), (None, near, "e"), (None, None, "f"), (7, other, "g"), (8, "", "h"), (None, "alone here but long enough indeed", "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n string")
+    got = [tuple(r) for r in ngram_join.one_of_each(df, k=5, num=80).collect()]
+    assert sorted(r[2] for r in got if r[0] != 3) == ["b", "f", "h", "i"] and [r[:2] for r in got if r[0] == 3] == [rows[2][:2]]
+    assert ngram_join.one_of_each(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (200, 200)] + [(300, i) for i in range(301, 330)]
     got = dict(map(tuple, ngram_join.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()))
