@@ -2,8 +2,8 @@
 
 1. quality classifier: documents whose score is under the threshold go.
 2. quality rules: documents that a base rule or a learned rule rejects go.
-3. n-gram Jaccard join: of each group linked by 5-word n-grams at a similarity of 0.8 or more, the
-   document with the smallest id stays (all rows of that id; rows without an id stay).
+3. n-gram Jaccard join: of each group linked by 5-word n-grams at a similarity of 0.8 or more, one
+   row stays, that with the smallest id.  Rows are judged one by one, also those that share an id.
 4. benchmark decontamination: documents with any window of a benchmark item go.
 5. BPE encoding and decoding: number and digest of the ids, digest of the decoded text.
 
@@ -50,9 +50,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.join_components(docs.select("doc_id", "text"), k=K_WORDS, num=NUM, den=DEN)
-    drop = found.where("component_id < doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["__id"], "left_anti").select(*_own(docs))
+    return ngram_join.one_of_each(docs, k=K_WORDS, num=NUM, den=DEN)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +71,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("BPE encoding and decoding", encoding),
 ]
 
-#: Learned stages have no SQL; tests compare the stages with brute force.
+#: Learned stages have no SQL; tests compare every stage with a plain Python version.
 ORACLE_SQL = None
 
 
