@@ -2,10 +2,10 @@
 
 1. Pieces (words of the pre-tokeniser) are counted over all documents; each task adds up its own and
    hands on those with at least one in ``RARE`` of its pieces, so what it emits is bounded.
-2. The most frequent ``LEXICON`` pieces become a minimal acyclic automaton: states with equal
-   futures are shared, arcs carry numbers whose sum along a word is the word's rank in the
+2. The most frequent ``LEXICON`` pieces of at most ``ENTRY_BYTES`` bytes become a minimal acyclic automaton: states
+   with equal futures are shared, arcs carry numbers whose sum along a word is the word's rank in the
    lexicon, and a table leads from the rank to the ids.  Its arrays are one byte string, broadcast
-   (its size is bounded by ``LEXICON``) and memory-mapped by each worker.
+   (``LEXICON * ENTRY_BYTES`` arcs at most) and mapped read-only by each Python worker, as an anonymous file of its own.
 3. A worker looks up all distinct pieces of a block at once, one arc per step.  Pieces that the
    automaton does not accept are merged exactly, by the vocabulary's merge ranks.
 
@@ -15,7 +15,7 @@ Ids are those of the tokenizers library for a byte-level BPE file (no normaliser
 padding or truncation), also for special tokens whose strings occur in a text.
 
 Edge cases: null and empty texts have no ids and decode to an empty string.  Text of any length is
-encoded whole; pieces of thousands of characters merge in O(n log n).  Repeated rows stay; input columns
+encoded whole; pieces of thousands of characters merge in O(n log n), each time they occur in another block.  Repeated rows stay; input columns
 that have a result's name are replaced.
 """
 
@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 from . import pieces, rows, textscan, workspace
 
 LEXICON = 32_768
+ENTRY_BYTES = 64
 RARE = 50_000
 LONG_PIECE = 48
 
@@ -237,7 +238,7 @@ def worker_encoder(spec: str, lexicon: bytes) -> tuple[Vocabulary, pieces.Encode
 
 
 def frequent_pieces(docs: DataFrame, text: str = "text", limit: int = LEXICON) -> list[str]:
-    """The most frequent pieces of all documents, most frequent first."""
+    """The most frequent pieces of at most ``ENTRY_BYTES`` bytes of all documents, most frequent first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total, floor = Counter(), 0, 1
@@ -245,7 +246,8 @@ def frequent_pieces(docs: DataFrame, text: str = "text", limit: int = LEXICON) -
             for _, texts in (b for s in textscan.slices(x, 0) for b in pieces.text_blocks(s.column(0).to_pylist())):
                 b = pieces.Block(texts)
                 total += len(b.which)
-                seen.update(dict(zip(b.pieces(), np.bincount(b.which, minlength=len(b.hash)).tolist(), strict=True)))
+                short = np.flatnonzero(b.end - b.start <= ENTRY_BYTES)
+                seen.update(dict(zip(b.pieces(short), np.bincount(b.which, minlength=len(b))[short].tolist(), strict=True)))
                 while len(seen) > 8 * RARE:  # rare ones go; a piece over 1 in RARE cannot fall under
                     floor += 1
                     seen = Counter({w: c for w, c in seen.items() if c >= floor})

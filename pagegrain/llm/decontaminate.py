@@ -7,9 +7,11 @@ words with the item's own before it counts.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased.
 
-Size: the broadcast holds the test items only.  Their bytes are summed first; beyond
-``broadcast_bytes`` the items are dealt into several blocks, each of them broadcast to a pass of
-its own over the documents, so no single broadcast exceeds the limit.
+Size: the broadcast holds flat arrays: the items' words once, and for each window its hash, its place in them
+and its item.  ``WINDOW_BYTES`` for each byte of the items bounds all of it, so items whose text is over
+``broadcast_bytes / WINDOW_BYTES`` are dealt into several blocks.  Each block has a pass of its own whose rows are written
+before the next one begins: no two blocks are in memory at a time, no broadcast exceeds the limit (but
+by an item that does so alone).
 
 Edge cases: null or word-less texts have no words and no hits.  Items that are null, without words
 or without an id have no windows.  Repeated items count once by id, repeated documents are judged
@@ -27,10 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import rows, textscan, workspace
+from . import pieces, rows, textscan, workspace
 
 N_WORDS = 10
 BROADCAST_BYTES = 64 << 20
+#: Built bytes of a byte of text, at most: a word of one letter and a blank become 38 (hash, places, item, the word).
+WINDOW_BYTES = 20
+BITS = 20
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 FIELDS = [
@@ -42,41 +47,49 @@ FIELDS = [
 
 
 class TestSet:
-    """Windows of the test items: for each window length, sorted hashes and what has them."""
+    """Windows of the test items: for each window length, hashes in order, and what has them."""
 
     __test__ = False
 
     def __init__(self, items: Sequence[tuple[str, str]], n: int):
-        found: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-        for item, text in items:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            w = textscan.Words(raw, np.array([0, len(raw)]), textscan.ALNUM)
-            m = len(w.start)
-            if not m:
-                continue
-            k = min(n, m)
-            words = [w.text(i).lower() for i in range(m)]
-            for i, h in enumerate(textscan.windows(w.hash, k).tolist()):
-                found.setdefault(k, {}).setdefault(h, {}).setdefault(b" ".join(words[i:i + k]), set()).add(item)
+        self.names = [name for name, _ in items]
+        texts = [text.encode() for _, text in items]
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        w = textscan.Words(raw, offsets, textscan.ALNUM)
+        size = w.end - w.start  # words one after the other, each with a blank behind it
+        end = np.cumsum(size + 1)
+        self.start, self.end = end - size - 1, end - 1
+        self.words = np.full(int(end[-1]) if len(end) else 0, 0x20, np.uint8)
+        self.words[pieces.spans(self.start, size)] = textscan.LOWER[raw[pieces.spans(w.start, size)]]
+        first, last = w.first[:-1], w.first[1:]
         self.by_length = {}
-        for k, table in found.items():
-            keys = np.array(sorted(table), np.uint64)
-            bits = np.zeros(1 << 20, bool)
-            bits[(keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
-            self.by_length[k] = (keys, bits, [table[int(x)] for x in keys])
+        for k in np.unique(np.minimum(last - first, n)).tolist():
+            own = np.flatnonzero(np.minimum(last - first, n) == k)
+            if not k:
+                continue
+            count = last[own] - first[own] - k + 1
+            at = pieces.spans(first[own], count)
+            keys = textscan.windows(w.hash, k)[at]
+            order = np.argsort(keys, kind="stable")
+            bits = np.zeros(1 << BITS, bool)
+            bits[(keys & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
+            self.by_length[k] = (keys[order], bits, at[order], np.repeat(own, count)[order].astype(np.int32))
+
+    def nbytes(self) -> int:
+        arrays = [self.words, self.start, self.end, *(a for x in self.by_length.values() for a in x)]
+        return sum(a.nbytes for a in arrays)
 
     def hits(self, w: textscan.Words) -> list[tuple[int, int, set[str]]]:
         """(first word, window length, items) of every verified occurrence, also such as cross texts."""
         out = []
-        for k, (keys, bits, items) in self.by_length.items():
+        for k, (keys, bits, at, item) in self.by_length.items():
             g = textscan.windows(w.hash, k)
-            at = np.flatnonzero(bits[(g & np.uint64(0xFFFFF)).astype(np.int64)])
-            if not len(at):
-                continue
-            slot = np.minimum(np.searchsorted(keys, g[at]), len(keys) - 1)
-            same = keys[slot] == g[at]
-            for i, s in zip(at[same].tolist(), slot[same].tolist(), strict=True):
-                own = items[s].get(b" ".join(w.text(j).lower() for j in range(i, i + k)))
+            maybe = np.flatnonzero(bits[(g & np.uint64((1 << BITS) - 1)).astype(np.int64)])
+            lo, hi = np.searchsorted(keys, g[maybe], "left"), np.searchsorted(keys, g[maybe], "right")
+            for i, a, b in zip(maybe[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
+                window = b" ".join(w.text(j).lower() for j in range(i, i + k))
+                own = {self.names[item[s]] for s in range(a, b) if self.words[self.start[at[s]]:self.end[at[s] + k - 1]].tobytes() == window}
                 if own:
                     out.append((i, k, own))
         return out
@@ -111,8 +124,8 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     """``docs`` with FIELDS: counts, sorted ids of occurring items, word spans [start, end) hit."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").cast("string").alias("text")).where("item is not null and text is not null").distinct()
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = -(-total // broadcast_bytes) or 1
+    total = items.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"] or 0
+    parts = -(-total * WINDOW_BYTES // broadcast_bytes) or 1
     out = docs
     for k in range(parts):
         part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
@@ -123,6 +136,8 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
             return [pa.array(count), *_columns(count, [_union(s) for s in spans], found)]
 
         out = rows.extend(out, text, FIELDS if parts == 1 else [T.StructField(f"{f.name}__{k}", f.dataType) for f in FIELDS], one)
+        if k < parts - 1:
+            out = workspace.written(out, "decontaminated")
     return out if parts == 1 else _merged(out, parts)
 
 

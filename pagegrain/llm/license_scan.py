@@ -6,8 +6,11 @@ equivalent spellings unified.  The SHA-256 of the normal form of an *entire* tex
 to the digests of known licences.  Units are the whole document and each of its lines (a licence
 notice is commonly a line of its own), never a part of a line.
 
-The table of known licences is a parameter; it is broadcast only while it has at most
-``MAX_BROADCAST_ROWS`` entries, else the join shuffles.
+One equi-join does both: each text gives its own digest and those of its lines, and what meets a known digest is
+added up by the text (its MD5, with a row for each place of a hit, so copies of a text count once) and joined back.
+A row of the result is found again by its text's MD5; that join shuffles the columns asked for unless the hits
+are few enough to be broadcast at run time.  The table of known licences is a parameter of any size: while it has at most
+``MAX_BROADCAST_ROWS`` texts it is broadcast, beyond that the join shuffles.
 
 Edge cases: null and empty texts, and such with nothing left, match nothing.  Repeated rows are
 judged one by one.  Digests of two licences that are equal after normalisation: the smallest name wins.
@@ -24,7 +27,7 @@ from . import license_texts, workspace
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_BROADCAST_ROWS = 10_000
-#: Equivalent spellings, applied in this order to the space-padded normal form.
+#: Equivalent spellings, applied in this order to the normal form; words there stand between two blanks.
 SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("merchantibility", "merchantability"), ("whilst", "while"), ("http", "https"))
 KNOWN = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
@@ -47,10 +50,11 @@ KNOWN["ISC"] += [f"{head}\n{KNOWN['ISC'][0]}" for head in ("ISC License", "The I
 
 def _canonical_line(line: Column) -> Column:
     low = F.translate(line, UPPER, LOWER)
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[^0-9a-z\x{80}-\x{10FFFF}]+", " ")), F.lit(" "))
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[^0-9a-z\x{80}-\x{10FFFF}]+", "  ")), F.lit(" "))
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.when(low.rlike(r"^[^0-9a-z\x{80}-\x{10FFFF}(]*(copyright[^0-9a-z]|\(c\)|\x{A9})"), F.lit("")).otherwise(F.trim(out))
+    spaced = F.replace(F.trim(out), F.lit("  "), F.lit(" "))
+    return F.when(low.rlike(r"^[^0-9a-z\x{80}-\x{10FFFF}(]*(copyright[^0-9a-z]|\(c\)|\x{A9})"), F.lit("")).otherwise(spaced)
 
 
 def canonical_lines(text: Column) -> Column:
@@ -69,25 +73,25 @@ def known_digests(spark: SparkSession, known: Mapping[str, list[str]] = KNOWN) -
     return df.groupBy("digest").agg(F.min("license").alias("license"))
 
 
+def hits(docs: DataFrame, known: DataFrame, *, text: str, broadcast: bool) -> DataFrame:
+    """(__key, license, n_license_lines, line_licenses) of the texts that have any; __key: MD5 of the text."""
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    lines = docs.select(F.md5(body).alias("__key"), canonical_lines(body).alias("lines"))
+    digests = F.concat(F.array(F.sha2(_whole(F.col("lines")), 256)), F.transform("lines", lambda x: F.when(x != "", F.sha2(x, 256))))
+    units = lines.select("__key", F.posexplode(digests).alias("place", "digest")).where("digest is not null")
+    found = units.join(F.broadcast(known) if broadcast else known, "digest").groupBy("__key", "place").agg(F.min("license").alias("license"))
+    names, line = F.col("license"), F.col("place") > 0
+    return found.groupBy("__key").agg(F.min(F.when(~line, names)).alias("license"), F.count(F.when(line, names)).alias("n_license_lines"), F.array_sort(F.collect_set(F.when(line, names))).alias("line_licenses"))
+
+
 def scan(docs: DataFrame, known: Mapping[str, list[str]] = KNOWN, *, text: str = "text") -> DataFrame:
-    """``docs`` with license (of the entire text, or null), n_license_lines and line_licenses (sorted names).
-
-    The digests of lines meet those of known licences in place: known ones are few, so they travel
-    as a map inside the plan and no line leaves its row.
-    """
-    spark = docs.sparkSession
-    table = known_digests(spark, known)
-    n = sum(map(len, known.values()))
-    if n > MAX_BROADCAST_ROWS:
-        raise ValueError(f"{n} known texts; at most {MAX_BROADCAST_ROWS} fit the in-plan table")
-    pairs = [(r["digest"], r["license"]) for r in table.collect()]
-    names = F.create_map(*[F.lit(x) for p in pairs for x in p]) if pairs else F.create_map().cast("map<string,string>")
+    """``docs`` with license (of the entire text, or null), n_license_lines and line_licenses (sorted names)."""
     own = {"license", "n_license_lines", "line_licenses"}
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in own]
-    df = docs.select(*kept, canonical_lines(F.col(f"`{text}`")).alias("__lines"))
-    df = df.select(*kept, F.sha2(_whole(F.col("__lines")), 256).alias("__digest"), F.filter(F.transform(F.filter("__lines", lambda x: x != ""), lambda x: F.element_at(names, F.sha2(x, 256))), lambda x: x.isNotNull()).alias("__found"))
-    whole = table.select(F.col("digest").alias("__digest"), "license")
-    return df.join(F.broadcast(whole), "__digest", "left").select(*kept, "license", F.size("__found").cast("long").alias("n_license_lines"), F.array_sort(F.array_distinct("__found")).alias("line_licenses"))
+    found = hits(docs, known_digests(docs.sparkSession, known), text=text, broadcast=sum(map(len, known.values())) <= MAX_BROADCAST_ROWS)
+    keyed = docs.select(*kept, F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).alias("__key"))
+    none = F.array().cast("array<string>")
+    return keyed.join(found, "__key", "left").select(*kept, "license", F.coalesce("n_license_lines", F.lit(0)).alias("n_license_lines"), F.coalesce("line_licenses", none).alias("line_licenses"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,22 +101,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    def lines(text: str) -> str:
-        out = r"concat(' ', trim(regexp_replace(translate(x, 'UU', 'LL'), '[^0-9a-z\x{80}-\x{10FFFF}]+', ' ', 'g')), ' ')"
-        for a, b in SPELLINGS:
-            out = f"replace({out}, ' {a} ', ' {b} ')"
-        test = r"regexp_matches(translate(x, 'UU', 'LL'), '^[^0-9a-z\x{80}-\x{10FFFF}(]*(copyright[^0-9a-z]|\(c\)|\x{A9})')"
-        expr = f"CASE WHEN {test} THEN '' ELSE trim({out}) END".replace("'UU'", f"'{UPPER}'").replace("'LL'", f"'{LOWER}'")
-        return f"list_filter(list_transform(string_split(coalesce({text}, ''), chr(10)), lambda x: {expr}), lambda x: x <> '')"
-
+    """Words are mapped one by one through a table of spellings, instead of replaced in the text."""
+    final = dict(SPELLINGS)
+    pairs = ", ".join(f"'{a}': '{b}'" for a, b in final.items())
+    low = f"translate(x, '{UPPER}', '{LOWER}')"
+    words = rf"list_filter(string_split(regexp_replace({low}, '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    mine = rf"regexp_matches({low}, '^[^0-9a-z\x{{80}}-\x{{10FFFF}}(]*(copyright[^0-9a-z]|\(c\)|\x{{A9}})')"
+    line = f"CASE WHEN {mine} THEN '' ELSE array_to_string(list_transform({words}, lambda w: coalesce(MAP {{{pairs}}}[w], w)), ' ') END"
+    found = f"list_filter(list_transform(string_split(coalesce(t, ''), chr(10)), lambda x: {line}), lambda x: x <> '')"
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(name)}, {quote(t)})" for name, texts in KNOWN.items() for t in texts)
     return f"""
-WITH known AS (SELECT sha256(array_to_string({lines('t')}, ' ')) AS digest, min(name) AS license FROM (VALUES {values}) AS v(name, t) GROUP BY 1),
-d AS (SELECT row_number() OVER () AS rid, doc_id, {lines('text')} AS lines FROM documents),
-w AS (SELECT rid, doc_id, lines, known.license FROM d LEFT JOIN known ON sha256(array_to_string(lines, ' ')) = known.digest),
-u AS (SELECT rid, known.license FROM (SELECT rid, unnest(lines) AS line FROM d) JOIN known ON sha256(line) = known.digest),
+WITH k AS (SELECT name, {found} AS lines FROM (VALUES {values}) AS v(name, t)),
+known AS (SELECT array_to_string(lines, ' ') AS body, min(name) AS license FROM k GROUP BY 1),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {found} AS lines FROM (SELECT doc_id, text AS t FROM documents)),
+u AS (SELECT rid, known.license FROM (SELECT rid, unnest(lines) AS line FROM d) JOIN known ON line = known.body),
 g AS (SELECT rid, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names FROM u GROUP BY rid)
-SELECT doc_id, license, CAST(coalesce(n, 0) AS BIGINT) AS n_license_lines, coalesce(names, '') AS line_licenses
-FROM w LEFT JOIN g USING (rid)
+SELECT doc_id, known.license, CAST(coalesce(n, 0) AS BIGINT) AS n_license_lines, coalesce(names, '') AS line_licenses
+FROM d LEFT JOIN known ON array_to_string(lines, ' ') = known.body LEFT JOIN g USING (rid)
 """

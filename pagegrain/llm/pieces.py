@@ -3,8 +3,8 @@
 Splits texts as the public pattern
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`` does, for a block
 of texts at once: classes of code points, runs of a class, then the rules for single spaces,
-white space and contractions on the borders of runs.  Equal pieces are found by a 64-bit hash, so
-an encoder only sees each distinct piece of a block.
+white space and contractions on the borders of runs.  Equal pieces of a block are found by Arrow's
+dictionary, which compares their bytes, so an encoder only sees each distinct piece of a block.
 """
 
 from __future__ import annotations
@@ -69,36 +69,36 @@ def split(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-_UP = 0x9E3779B97F4A7C15 | 1
-
-
-def _hashes(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    up, down = textscan._powers(len(code) + 1)
-    run = np.zeros(len(code) + 1, np.uint64)
-    value = (code.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
-    np.cumsum(value * up[:len(code)], out=run[1:])
-    return textscan.mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64))
-
-
 class Block:
-    """Pieces of a block of texts: which distinct piece each one is, and where texts begin."""
+    """Pieces of a block of texts: which distinct piece each one is, and where texts begin.
+
+    data: UTF-8 bytes of the distinct pieces, in order of first occurrence; start, end: where each is in them.
+    """
 
     def __init__(self, texts: Sequence[str]):
         whole = "".join(texts)
-        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         start = split(code, bounds)
-        end = np.append(start[1:], len(code))
         self.first = np.searchsorted(start, bounds)  # first piece of each text
-        h = _hashes(code, start, end)
-        self.which = pa.array(h).dictionary_encode().indices.to_numpy()  # in order of first occurrence
-        one = np.flatnonzero(np.diff(np.maximum.accumulate(self.which), prepend=-1) > 0) if len(h) else self.which
-        self.hash, self.start, self.end, self.whole = h[one], start[one], end[one], whole
+        width = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        at = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
+        ends = np.append(at[start], at[-1])  # pieces stand one after the other
+        wide = int(at[-1]) >= 1 << 31
+        kind, step = (pa.large_string(), np.int64) if wide else (pa.string(), np.int32)
+        found = pa.Array.from_buffers(kind, len(start), [None, pa.py_buffer(ends.astype(step)), pa.py_buffer(whole.encode())]).dictionary_encode()
+        self.which = found.indices.to_numpy()
+        self._distinct = found.dictionary
+        self.data, offsets = textscan.string_buffers(found.dictionary)
+        self.start, self.end = offsets[:-1], offsets[1:]
+
+    def __len__(self) -> int:
+        return len(self._distinct)
 
     def pieces(self, at: np.ndarray | slice = slice(None)) -> list[str]:
         """Distinct pieces, by their number in the block."""
-        return [self.whole[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+        return (self._distinct if isinstance(at, slice) else self._distinct.take(pa.array(at))).to_pylist()
 
 
 def text_blocks(texts: Sequence[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
@@ -127,14 +127,24 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
     return a
 
 
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices begin, begin + 1, ... of spans of the given sizes, one after the other."""
+    upto = np.cumsum(size)
+    return np.repeat(begin - (upto - size), size) + np.arange(upto[-1] if len(size) else 0)
+
+
 class Encoder:
     """Ids of whole texts, from a function that encodes distinct pieces.
 
     encode_new: of a list of pieces not seen before, (their order in the result, their ids one
-    after the other, the number of ids of each).  Seen ones are known by their 64-bit hash and stay in a table of at
-    most ``keep`` pieces, which then starts anew.  special: strings that are one id wherever they occur.
+    after the other, the number of ids of each).  Seen ones of at most ``KEPT_BYTES`` bytes stay in a table of at
+    most ``keep`` pieces, which then starts anew: sorted 64-bit hashes lead to a piece's bytes, which are
+    compared before its ids count.  A piece whose hash is another one's is encoded each time.
+    special: strings that are one id wherever they occur.
     """
 
+    KEPT_BYTES = 256
+
     def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], special: dict[str, int] | None = None, keep: int = 600_000):
         self.encode_new, self.special, self.keep = encode_new, special or {}, keep
         self._reset()
@@ -144,46 +154,82 @@ class Encoder:
         self.slot = np.zeros(0, np.int32)  # and the number of each
         self.upto = np.zeros(1 << 16, np.int64)  # end of each number's ids in the pool
         self.pool = np.zeros(1 << 18, np.uint32)
-
-    def _learn(self, block: Block, new: np.ndarray) -> None:
-        order, flat, sizes = self.encode_new(block.pieces(new))
-        at = len(self.keys)
-        self.upto = _grown(self.upto, at + len(new) + 1)
-        base = int(self.upto[at])
-        self.pool = _grown(self.pool, base + len(flat))
-        self.pool[base:base + len(flat)] = flat
-        self.upto[at + 1:at + 1 + len(new)] = base + np.cumsum(sizes)
-        keys = np.concatenate([self.keys, block.hash[new][order]])
+        self.byte_upto = np.zeros(1 << 16, np.int64)  # and of its bytes
+        self.bytes = np.zeros(1 << 18, np.uint8)
+
+    def _encoded(self, block: Block, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces ``which``, in this order, the number of each)."""
+        order, flat, sizes = self.encode_new(block.pieces(which))
+        back = np.empty(len(which), np.int64)
+        back[order] = np.arange(len(which))
+        begin = np.cumsum(sizes) - sizes
+        return flat[spans(begin[back], sizes[back])], sizes[back]
+
+    def _learn(self, block: Block, hashes: np.ndarray, new: np.ndarray) -> None:
+        flat, sizes = self._encoded(block, new)
+        at, size = len(self.keys), block.end[new] - block.start[new]
+        for held, values, ends, lengths in (("pool", flat, "upto", sizes), ("bytes", block.data[spans(block.start[new], size)], "byte_upto", size)):
+            upto = _grown(getattr(self, ends), at + len(new) + 1)
+            base = int(upto[at])
+            upto[at + 1:at + 1 + len(new)] = base + np.cumsum(lengths)
+            room = _grown(getattr(self, held), base + len(values))
+            room[base:base + len(values)] = values
+            setattr(self, ends, upto), setattr(self, held, room)
+        keys = np.concatenate([self.keys, hashes[new]])
         sort = np.argsort(keys, kind="stable")  # a merge of two sorted runs, nearly
         self.slot = np.concatenate([self.slot, np.arange(at, at + len(new), dtype=np.int32)])[sort]
         self.keys = keys[sort]
 
-    def _numbers(self, block: Block) -> np.ndarray:
-        for _ in range(2):
-            at = np.minimum(np.searchsorted(self.keys, block.hash), max(len(self.keys) - 1, 0))
-            known = self.keys[at] == block.hash if len(self.keys) else np.zeros(len(block.hash), bool)
-            if known.all():
-                break
-            new = np.flatnonzero(~known)
-            if len(self.keys) + len(new) > self.keep and len(self.keys):
-                self._reset()
-                new = np.arange(len(block.hash))
-            self._learn(block, new)
-        else:
-            at = np.searchsorted(self.keys, block.hash)
-        return self.slot[at]
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the piece that has each hash, whether there is one)."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), np.int32), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return self.slot[at], self.keys[at] == hashes
+
+    def _same(self, block: Block, number: np.ndarray) -> np.ndarray:
+        """Whether the kept piece ``number`` has the bytes of each piece of the block."""
+        size, begin = block.end - block.start, self.byte_upto[number]
+        same = self.byte_upto[number + 1] - begin == size
+        rest = np.flatnonzero(same)
+        differ = self.bytes[spans(begin[rest], size[rest])] != block.data[spans(block.start[rest], size[rest])]
+        if differ.any():
+            same[rest[np.searchsorted(np.cumsum(size[rest]), np.flatnonzero(differ), "right")]] = False
+        return same
+
+    def _ids(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin of each distinct piece in them, number of ids of each)."""
+        one, two = textscan.run_hashes(block.data, block.start, block.end)
+        hashes = textscan.mix(one ^ (two * np.uint64(0x9E3779B97F4A7C15)))
+        short = block.end - block.start <= self.KEPT_BYTES
+        number, known = self._find(hashes)
+        new = np.flatnonzero(short & ~known)
+        if len(new) and len(self.keys) + len(new) > self.keep:
+            self._reset()
+            new = np.flatnonzero(short)
+        if len(new):
+            self._learn(block, hashes, np.sort(new[np.unique(hashes[new], return_index=True)[1]]))  # of equal hashes the first
+            number, known = self._find(hashes)
+        known &= short
+        known &= self._same(block, np.where(known, number, 0))
+        number = np.where(known, number, 0)
+        begin, size = self.upto[number], self.upto[number + 1] - self.upto[number]
+        odd = np.flatnonzero(~known)
+        if not len(odd):
+            return self.pool, begin, size
+        flat, sizes = self._encoded(block, odd)
+        used = int(self.upto[len(self.keys)])
+        begin[odd], size[odd] = used + np.cumsum(sizes) - sizes, sizes
+        return np.concatenate([self.pool[:used], flat]), begin, size
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text in them)."""
         if any(s in t for s in self.special for t in texts):
             return self._with_special(texts)
         b = Block(texts)
-        number = self._numbers(b)[b.which]
-        begin = self.upto[number]
-        n = self.upto[number + 1] - begin
-        upto = np.concatenate([[0], np.cumsum(n)])
-        take = np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])
-        return self.pool[take], upto[b.first]
+        pool, begin, size = self._ids(b)
+        size = size[b.which]
+        return pool[spans(begin[b.which], size)], np.concatenate([[0], np.cumsum(size)])[b.first]
 
     def _with_special(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts, owner, after = [], [], []

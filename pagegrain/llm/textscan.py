@@ -1,11 +1,8 @@
 """Vectorised scanning of Arrow string columns.
 
-Texts stay in Arrow's own UTF-8 buffer.  Words are byte runs of a 256-entry mask.  Two kinds of hashes:
-
-* ``Words.hash``: a 64-bit polynomial over folded bytes, for all words of a block from one running sum.
-  It is cheap, and two different words may well share it: whoever uses it compares the words, or counts on nothing.
-* ``Words.wide``: 128 bits of each word.  Arrow's dictionary finds the distinct words by their bytes,
-  each of these is hashed once (xxh3).
+Texts stay in Arrow's own UTF-8 buffer.  Words are byte runs of a 256-entry mask.  A run of up to 15 bytes is
+told apart by 128 bits that are its bytes and length, mixed by bijections, so no two runs share them; longer
+runs are hashed by xxh3.  Nothing here builds a Python object per word, but for those longer ones.
 """
 
 from __future__ import annotations
@@ -19,23 +16,14 @@ import pyarrow.compute as pc
 import xxhash
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_ROOM = {"n": 0, "up": None, "down": None}
 
 
 def _rand64(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, n, dtype=U64)
 
 
-def fold_table() -> np.ndarray:
-    """Random 64-bit value of each byte, equal for A-Z and a-z."""
-    t = _rand64(256, 20240611)
-    t[ord("A"):ord("Z") + 1] = t[ord("a"):ord("z") + 1]
-    return t
-
-
-FOLD = fold_table()
+_LANE = _rand64(64, 77003) | U64(1)
+_SECOND = _rand64(64, 91009) | U64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -56,15 +44,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _ROOM["n"] < n:
-        size = max(n, 1 << 20)
-        for key, base in (("up", _BASE), ("down", _INV)):
-            a = np.full(size, base, U64)
-            a[0] = 1
-            _ROOM[key] = np.multiply.accumulate(a)
-        _ROOM["n"] = size
-    return _ROOM["up"], _ROOM["down"]
+#: Masks of the first 0 to 8 bytes of a word of 8.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the 128 bits of each run of bytes [start, end)."""
+    padded = np.append(data, np.zeros(16, np.uint8))
+    eight = np.ndarray((len(padded) - 7,), U64, padded, 0, (1,))  # the 8 bytes from every byte on
+    size = end - start
+    one = eight[start] & _FIRST[np.minimum(size, 8)]
+    two = (eight[start + np.minimum(size, 8)] & _FIRST[np.clip(size - 8, 0, 7)]) | (size.astype(U64) << U64(56))
+    for i in np.flatnonzero(size > 15).tolist():
+        raw = xxhash.xxh3_128_intdigest(padded[start[i]:end[i]], seed)
+        one[i], two[i] = raw & 0xFFFFFFFFFFFFFFFF, raw >> 64
+    salt = _rand64(2, seed)
+    return mix(one ^ salt[0]), mix(two ^ salt[1])
 
 
 def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,9 +92,9 @@ class Words:
     entry at the end.  Hashes and numbers are those of the folded bytes (A-Z lower-cased).
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, mask: np.ndarray, fold: np.ndarray = FOLD):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, mask: np.ndarray):
         n = len(data)
-        self.data, self.offsets, self._fold = data, offsets, fold
+        self.data, self.offsets = data, offsets
         self._inside = inside = mask[data]
         begins = inside.copy()
         if n:
@@ -115,13 +110,14 @@ class Words:
         self.end = np.flatnonzero(stops) + 1
         self.first = np.searchsorted(self.start, offsets)
 
+    def wide(self, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The two halves of each word's 128 bits."""
+        return run_hashes(LOWER[self.data], self.start, self.end, seed)
+
     @cached_property
     def hash(self) -> np.ndarray:
-        n = len(self.data)
-        up, down = _powers(n + 1)
-        run = np.zeros(n + 1, U64)
-        np.cumsum(self._fold[self.data] * up[:n], out=run[1:])
-        return mix((run[self.end] - run[self.start]) * down[self.start] + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        one, two = self.wide()
+        return mix(one + two * _SECOND[0])
 
     @cached_property
     def _dictionary(self) -> pa.DictionaryArray:
@@ -137,12 +133,6 @@ class Words:
         """Which distinct word each one is, told apart by their bytes."""
         return self._dictionary.indices.to_numpy()
 
-    def wide(self, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """The two halves of each word's 128-bit hash."""
-        words = self._dictionary.dictionary.to_pylist()
-        halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, seed) for w in words]), "<u8").reshape(-1, 2)
-        return halves[self.number, 0], halves[self.number, 1]
-
     def text(self, i: int) -> bytes:
         return self.data[self.start[i]:self.end[i]].tobytes()
 
@@ -155,10 +145,6 @@ def scan(column: pa.Array, mask: np.ndarray, limit: int = 1 << 20) -> Iterator[t
         yield a, b, Words(raw[o[0]:o[-1]], o - o[0], mask)
 
 
-_LANE = _rand64(64, 77003) | U64(1)
-_SECOND = _rand64(64, 91009) | U64(1)
-
-
 def windows(h: np.ndarray, k: int, second: np.ndarray | None = None) -> np.ndarray:
     """Hash of every run of k consecutive word hashes (also those across texts); second: other halves of these."""
     n = len(h) - k + 1

@@ -13,11 +13,13 @@ bytes, then all next ones) or bit planes, and each plane is compressed by itself
 index finds any block without reading the others.
 
 Order: documents are dealt into segments, ranges of document ids with boundaries at quantiles of the
-id column; rows go straight to the partition of their segment and are sorted there.  A start position is the
+id column; rows go straight to the partition of their segment and are sorted there.  An id (or null) that several
+boundaries fall on is a hot one: its rows are dealt into as many segments, one after the other, by a hash of
+their text and place in the input.  A start position is the
 sum of the segments before (one number per segment), of ``first_id`` and of the documents before in the chunk.
 
 Edge cases: a null or empty text has the end id only.  Null ids come first.  Rows with the
-same id are all written, ordered by the crc of their ids.  No documents: no chunks, no rows.  Only
+same id are all written, ordered by the crc of their ids inside a segment.  No documents: no chunks, no rows.  Only
 segment boundaries and sums (at most ``MAX_SEGMENTS``) reach the driver.
 """
 
@@ -124,23 +126,34 @@ def worker_encoder(spec: str) -> pieces.Encoder:
     return _WORKER[spec]
 
 
+NULL_ID = np.iinfo(np.int64).min
+
+
 def segment_bounds(docs: DataFrame, doc_id: str, rows_per_segment: int) -> list[int]:
-    """Ascending ids at which a new segment begins (the first begins before all)."""
-    n = docs.count()
+    """Ascending ids at which a new segment begins (the first begins before all); hot ids occur more than once."""
+    key = F.col(f"`{doc_id}`").cast("long")
+    n, known = docs.agg(F.count(F.lit(1)), F.count(key)).first()
     segments = min(MAX_SEGMENTS, n // rows_per_segment)
     if segments < 2:
         return []
-    at = docs.select(F.percentile_approx(F.col(f"`{doc_id}`").cast("long"), [i / segments for i in range(1, segments)], 100 * segments)).first()[0]
-    return sorted(set(at or []))
+    dealt = segments * known // n
+    at = docs.select(F.percentile_approx(key, [i / dealt for i in range(1, dealt)], 100 * dealt)).first()[0] if dealt > 1 else []
+    return [NULL_ID] * (segments - dealt) + sorted(at or [])
+
+
+def segment_of(key: np.ndarray, salt: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Segment of each id: how many boundaries are at or below it; salt deals the rows of a hot id."""
+    lo, hi = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
+    return np.where(hi - lo > 1, lo + 1 + salt % np.maximum(hi - lo, 1), hi)
 
 
 def _encode(docs: DataFrame, doc_id: str, text: str, spec: str, end_id: int, bounds: list[int]) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(spec)
-    cuts = np.array(bounds, np.int64)
+    held = docs.sparkSession.sparkContext.broadcast((spec, np.array(bounds, np.int64)))
     schema = "segment int, doc_id long, n long, crc long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(held.value)
+        spec, cuts = held.value
+        encoder = worker_encoder(spec)
         for x in (piece for whole in batches for piece in textscan.slices(whole, 1)):
             ids, crcs, sizes = [], [], []
             for own in encoder.column(x.column(1)):
@@ -148,10 +161,12 @@ def _encode(docs: DataFrame, doc_id: str, text: str, spec: str, end_id: int, bou
                 crcs.append(zlib.crc32(own))
                 ids.append((own.astype("<u2") if own.max() < 65536 else own).tobytes())
                 sizes.append(len(own))
-            key = x.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, key, "right"), pa.int32()), x.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(ids, pa.binary())], names=["segment", "doc_id", "n", "crc", "ids"])
+            key = x.column(0).fill_null(NULL_ID).to_numpy()
+            segment = segment_of(key, x.column(2).to_numpy(), cuts)
+            yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), x.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(ids, pa.binary())], names=["segment", "doc_id", "n", "crc", "ids"])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, schema)
+    salt = F.pmod(F.xxhash64(F.col("text"), F.monotonically_increasing_id()), F.lit(1 << 31)).alias("salt")
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).select("doc_id", "text", salt).mapInArrow(run, schema)
 
 
 def _pack(chunk_ids: int, bits: bool):

@@ -69,6 +69,46 @@ def test_planes_round_trip(ids, bits, block):
     assert (token_output.from_planes(payload, 1, 2) == a[block:2 * block]).all()
 
 
+def test_colliding_words(spark):
+    """Words on which polynomial hashes modulo 2^64 agree, and pieces too long to be kept."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    texts = [a, b, f"{a} {b}", "x" * 3000, b, a]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["ids_sha256"], r["decoded_sha256"]) for r in bpe.transcode(df, tokenizer=SPEC).collect()}
+    assert got == {i: (hashlib.sha256(np.array(ids_of(t), "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows}
+    path = token_output.write_tokens(df, token_output.workspace.new_path(spark, "t"), tokenizer=SPEC)
+    assert {r["doc_id"]: r["ids"] for r in token_output.read_tokens(spark, path, with_ids=True).collect()} == {i: [*ids_of(t), 2] for i, t in rows}
+
+
+def test_encoder_with_equal_hashes(monkeypatch):
+    """If all pieces have one hash, their bytes still tell them apart."""
+    monkeypatch.setattr(pieces.textscan, "run_hashes", lambda data, start, end, seed=0: (np.zeros(len(start), np.uint64),) * 2)
+    for e in (bpe.encoder(bpe.Vocabulary(SPEC), None), token_output.library_encoder(SPEC)):
+        for text in ("one two one three", "two one", "four"):
+            assert e.block([text])[0].tolist() == ids_of(text)
+
+
+def test_hot_ids_are_dealt(spark):
+    rows = [(5, f"t{i % 7}") for i in range(300)] + [(None, f"n{i}") for i in range(200)] + [(i, "x y") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = token_output.write_tokens(df, token_output.workspace.new_path(spark, "t"), tokenizer=SPEC, rows_per_segment=20)
+    assert max(r["n"] for r in spark.read.parquet(path).groupBy("segment").agg(token_output.F.sum("n_docs").alias("n")).collect()) < 80
+    got = sorted((r["start"], r["n_tokens"], -1 if r["doc_id"] is None else r["doc_id"], tuple(r["ids"])) for r in token_output.read_tokens(spark, path, with_ids=True).collect())
+    assert [d for _, _, d, _ in got] == sorted(-1 if d is None else d for d, _ in rows)
+    assert all(a[0] + a[1] == b[0] for a, b in zip(got[:-1], got[1:], strict=True)) and got[0][0] == 0
+    assert sorted((d, ids) for _, _, d, ids in got) == sorted((-1 if d is None else d, (*ids_of(t), 2)) for d, t in rows)
+
+
+def test_test_set_is_small():
+    items = [(str(i), " ".join(f"w{(i * 7 + j) % 997}" for j in range(400))) for i in range(200)] + [("letters", "a b " * 3000)]
+    tests = decontaminate.TestSet(items, 10)
+    bits = len(tests.by_length) << decontaminate.BITS
+    assert tests.nbytes() - bits <= decontaminate.WINDOW_BYTES * sum(len(t) + 1 for _, t in items)
+
+
 def test_token_files(spark, edge, documents):
     for docs in (edge, documents.select("doc_id", "text"), edge.limit(0)):
         rows = docs.select("doc_id", "text").collect()
@@ -114,7 +154,7 @@ def test_decontamination(spark, edge):
     bench = spark.createDataFrame(items, "item_id string, text string")
     docs = edge.select("doc_id", "text", "n_words").unionByName(spark.createDataFrame([(20, f"x ALPHA-{long[6:]} y. one, two? THREE!", "q"), (21, long[:30], "q")], "doc_id bigint, text string, n_words string"))
     known = [(i, t) for i, t in items if i]
-    for size in (1 << 20, 20):
+    for size in (1 << 20, 1500):
         for r in decontaminate.scan_documents(docs, bench, broadcast_bytes=size).collect():
             assert (r["n_words"], r["n_hit"], r["item_ids"]) == brute_hits(r["text"], known), r
     cut = {r["doc_id"]: r["text"] for r in decontaminate.remove(docs, bench, action="spans").collect()}
@@ -215,6 +255,34 @@ def test_shards(spark, edge, documents):
         assert sorted((r["size"], r["text_crc32"]) for r in rows) == expected
 
 
+def test_shards_by_sql(spark, edge, documents):
+    """The whole assignment by DuckDB, from the order and the law alone."""
+    import duckdb
+
+    sql = """
+    WITH o AS (
+      SELECT *, sum(size) OVER (ORDER BY k, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total, row_number() OVER (ORDER BY k, doc_id NULLS FIRST) AS place
+      FROM (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, substr(md5(coalesce(text, '')), 1, 15) AS k FROM d)),
+    s AS (SELECT *, least(7, ((2 * upto - size) * 8) // (2 * total)) AS shard FROM o)
+    SELECT coalesce(doc_id, -1), size, shard, place - min(place) OVER (PARTITION BY shard) AS slot FROM s ORDER BY ALL"""
+    for docs in (edge.select("doc_id", "text"), documents.select("doc_id", "text"), documents.select("doc_id", "text").repartition(7)):
+        d = docs.toPandas()  # noqa: F841
+        expected = [tuple(map(int, r)) for r in duckdb.sql(sql).fetchall()]
+        got = sharding.assign(docs).collect()
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["shard"], r["slot"]) for r in got) == expected
+
+
+def test_written_shards(spark, edge):
+    docs = edge.unionByName(edge.where("doc_id = 7")).unionByName(edge.where("doc_id is null")).withColumnRenamed("shard", "SLOT")
+    path = token_output.workspace.new_path(spark, "shards")
+    sharding.write_shards(docs, path)
+    got = spark.read.parquet(path)
+    key = lambda r: (r["doc_id"] or -1, r["text"] or "")
+    assert sorted(map(key, got.collect())) == sorted(map(key, docs.collect()))
+    expected = sharding.assign(docs).select("doc_id", "shard", "slot").collect()
+    assert sorted(map(str, expected)) == sorted(map(str, got.select("doc_id", "shard", "slot").collect()))
+
+
 def test_shards_split_a_hot_group(spark):
     df = spark.range(3000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'the same text for a third of all rows' else concat('text number ', id) end as text")
     sizes = [r["b"] for r in sharding.assign(df).groupBy("shard").agg(sharding.F.sum("size").alias("b")).collect()]
@@ -300,6 +368,14 @@ def test_advert_hosts(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "allow"}
 
 
+def test_licenses_beyond_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "MAX_BROADCAST_ROWS", 3)
+    known = {f"n{i}": [f"known text {i}"] for i in range(50)} | {"twice": ["a license license"]}
+    rows = [(1, "a licence licence"), (2, "known text 7\nother\nKnown: text 8!\nknown text 7"), (2, "nothing"), (3, None)]
+    got = [(r["doc_id"], r["license"], r["n_license_lines"], r["line_licenses"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id int, text string"), known).collect()]
+    assert sorted(got, key=str) == sorted([(1, "twice", 1, ["twice"]), (2, None, 3, ["n7", "n8"]), (2, None, 0, []), (3, None, 0, [])], key=str)
+
+
 def test_entire_licenses(spark):
     texts, bsd = license_scan.license_texts.TEXTS, license_scan.license_texts.TEXTS["BSD-3-Clause"]
     isc = license_scan.KNOWN["ISC"][0]
