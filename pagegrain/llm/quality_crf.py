@@ -8,7 +8,8 @@ training documents turns it into a score from 0 to 1 (higher: better).
 Only documents are labelled.  Lines of good documents are good; in bad ones the worst line and
 all that a first line model (later the field itself) finds bad are bad, which is repeated ``ROUNDS`` times.
 
-Fitting uses at most ``FIT_ROWS`` labelled documents, those with the smallest hash of their id; only their
+Fitting uses at most ``FIT_ROWS`` labelled documents, those with the smallest hash of their id, and of these as many as
+have at most ``FIT_LINES`` lines in all, without such as have over ``FIT_LINES_EACH``; only their
 line features reach the driver.  Scoring is row by row and reads whole texts.
 
 Edge cases: null and empty texts have one empty line, no bad share and thus the score of a text
@@ -19,6 +20,7 @@ none).  Repeated rows are scored one by one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,10 @@ from pyspark.sql import types as T
 from . import rows, textscan, workspace
 
 FIT_ROWS = 6000
+FIT_LINES = 400_000
+FIT_LINES_EACH = 2000
+#: Texts of more lines are scored one by one, by plain numbers: a step for all texts of a block would be for few of them.
+LONG_CHAIN = 512
 ROUNDS = 2
 STEPS = 120
 THRESHOLD = 0.3
@@ -127,6 +133,38 @@ class Chains:
         return p[:, 1], np.exp(both).sum(axis=0), float(last.sum())
 
 
+def _log_sum(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
+def long_marginals(unary: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """P(bad) of each line of one text, from the log odds of the two states before and behind each line."""
+    (gg, gb), (bg, bb) = pair.tolist()
+    u = unary.tolist()
+    before, behind = [u[0]], [0.0]
+    for x in u[1:]:
+        f = before[-1]
+        before.append(x + _log_sum(gb, bb + f) - _log_sum(gg, bg + f))
+    for x in u[:0:-1]:
+        f = x + behind[-1]
+        behind.append(_log_sum(bg, bb + f) - _log_sum(gg, gb + f))
+    return _sigmoid(np.array(before) + np.array(behind[::-1]))
+
+
+def line_marginals(unary: np.ndarray, pair: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """P(bad) of each line of all texts."""
+    size = np.diff(first)
+    long = size > LONG_CHAIN
+    if not long.any():
+        return Chains(first).marginals(unary, pair)[0]
+    out, short = np.empty(len(unary)), np.repeat(~long, size)
+    if short.any():
+        out[short] = Chains(np.concatenate([[0], np.cumsum(size[~long])])).marginals(unary[short], pair)[0]
+    for d in np.flatnonzero(long).tolist():
+        out[first[d]:first[d + 1]] = long_marginals(unary[first[d]:first[d + 1]], pair)
+    return out
+
+
 def _adam(x: np.ndarray, gradient, steps: int, rate: float) -> np.ndarray:
     m, v = np.zeros_like(x), np.zeros_like(x)
     for k in range(1, steps + 1):
@@ -150,7 +188,7 @@ class Model:
         """Length-weighted bad share of each text."""
         if self.weights is None or not len(own):
             return np.zeros(len(first) - 1)
-        bad, _, _ = Chains(first).marginals(with_neighbours(own, first) @ self.weights, self.pair)
+        bad = line_marginals(with_neighbours(own, first) @ self.weights, self.pair, first)
         total = np.add.reduceat(size, first[:-1])
         return np.add.reduceat(size * bad, first[:-1]) / np.maximum(total, 1)
 
@@ -201,22 +239,24 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
-    """A model from at most ``fit_rows`` labelled documents that are not held out."""
+def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS, fit_lines: int = FIT_LINES, fit_lines_each: int = FIT_LINES_EACH) -> Model:
+    """A model from at most ``fit_rows`` labelled documents that are not held out, with at most ``fit_lines`` lines."""
     known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").alias("label")).where("id is not null and label is not null")
     known = known.where(~is_held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    chosen = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(known), "id").select("id", "label", "text")
+    chosen = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(known), "id").select(F.col("id").cast("string").alias("id"), F.col("label").cast("int").alias("label"), "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             raw, offs = textscan.string_buffers(x.column(2))
             for a, b in textscan.blocks(offs):
                 own, size, first = line_table(raw[offs[a]:offs[b]], offs[a:b + 1] - offs[a])
-                cells = [np.concatenate([own[i:j], size[i:j, None]], axis=1).astype("<f4").tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([x.column(0).slice(a, b - a).cast(pa.string()), x.column(1).slice(a, b - a).cast(pa.int32()), pa.array(cells, pa.binary())], names=["id", "label", "lines"])
+                count = np.diff(first)
+                cells = [np.concatenate([own[i:j], size[i:j, None]], axis=1).astype("<f4").tobytes() if j - i <= fit_lines_each else b"" for i, j in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([x.column(0).slice(a, b - a), x.column(1).slice(a, b - a), pa.array(count, pa.int64()), pa.array(cells, pa.binary())], names=["id", "label", "n", "lines"])
 
-    found = sorted((r["id"], r["label"], bytes(r["lines"])) for r in chosen.mapInArrow(features, "id string, label int, lines binary").collect())
+    table = workspace.written(chosen.mapInArrow(features, "id string, label int, n long, lines binary").where(F.col("n") <= fit_lines_each), "crf-lines")
+    found = sorted((r["id"], r["label"], bytes(r["lines"])) for r in _within(table, fit_lines).collect())
     tables = [np.frombuffer(x[2], "<f4").astype(np.float64) for x in found]
     width = 11
     tables = [t.reshape(-1, width) for t in tables]
@@ -225,6 +265,17 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     return fit(lines[:, :-1], lines[:, -1], first, np.array([float(x[1] == 1) for x in found]))
 
 
+def _within(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows with at most ``limit`` lines in all: those under a hash of the id, found from sums by 1,024 parts of its range."""
+    part = F.pmod(F.xxhash64("id"), F.lit(1024))
+    sums = dict(map(tuple, rows.groupBy(part.alias("part")).agg(F.sum("n")).collect()))
+    upto, total = 0, 0
+    while upto < 1024 and total + sums.get(upto, 0) <= limit:
+        total += sums.get(upto, 0)
+        upto += 1
+    return rows if upto == 1024 else rows.where(part < upto)
+
+
 def classify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """``docs`` with bad_share and score."""
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -2,7 +2,8 @@
 
 Vocabulary: one Aho-Corasick automaton holds strict and soft terms.  A match counts only where
 neither neighbour is a letter or digit of ASCII.  A URL is rejected on one strict term, or when
-the weights of its distinct soft terms reach ``soft_limit``.
+the weights of its distinct soft terms reach ``soft_limit``: no single one does, two do if one of them is
+heavy, three always do.
 
 Rules are (action, host, path prefix).  A rule fits its host and all subdomains, when the URL's
 path starts with the rule's path; the longest fitting rule (host plus path) decides.
@@ -27,17 +28,20 @@ STRICT = (
     "adult", "porn", "porno", "pornos", "pornography", "xxx", "hardcore", "hentai", "milf", "nsfw", "escort", "escorts", "camgirl", "camgirls", "sexcam", "sexcams", "livesex",
     "casino", "casinos", "viagra", "cialis", "warez", "malware", "phishing", "spam", "spammer", "adserver", "adservers", "adserving", "adclick", "doubleclick", "clickbank",
 )
+#: Soft terms by weight: 2 for such as are rarely met on clean sites, 1 for such as are common there, too.
 SOFT = dict.fromkeys((
-    "sex", "sexy", "erotic", "erotica", "nude", "nudes", "dating", "hookup", "webcam", "webcams",
-    "poker", "bet", "bets", "betting", "gambling", "roulette", "blackjack", "bingo", "lottery", "slot", "slots", "bonus", "jackpot", "win", "winner", "prize", "prizes",
-    "payday", "loan", "loans", "forex",
-    "pill", "pills", "pharmacy", "steroids", "weightloss", "torrent", "torrents", "crack", "cracked", "cracks", "keygen", "hack", "hacks",
-    "cheap", "replica", "replicas", "free", "freebie", "freebies",
-    "ad", "ads", "adv", "advert", "adverts", "advertising", "banner", "banners", "popup", "popups", "popunder", "sponsor", "sponsored", "affiliate", "affiliates",
-    "track", "tracker", "trackers", "tracking", "click", "clicks", "clicktrack",
-    "seo", "backlink", "backlinks", "linkfarm", "spyware", "adware", "scam",
+    "sex", "sexy", "erotic", "erotica", "nude", "nudes", "hookup",
+    "poker", "bet", "bets", "betting", "gambling", "roulette", "blackjack", "lottery", "slots", "jackpot",
+    "payday", "forex", "pill", "pills", "steroids", "weightloss", "torrent", "torrents", "cracked", "cracks", "keygen",
+    "replica", "replicas", "freebie", "freebies",
+    "ad", "ads", "adv", "adverts", "banner", "banners", "popup", "popups", "popunder", "affiliate", "affiliates",
+    "trackers", "clicktrack", "backlink", "backlinks", "linkfarm", "spyware", "adware", "scam",
+), 2) | dict.fromkeys((
+    "dating", "webcam", "webcams", "bingo", "slot", "bonus", "win", "winner", "prize", "prizes", "loan", "loans",
+    "pharmacy", "crack", "hack", "hacks", "cheap", "free",
+    "advert", "advertising", "sponsor", "sponsored", "track", "tracker", "tracking", "click", "clicks", "seo",
 ), 1)
-SOFT_LIMIT = 2
+SOFT_LIMIT = 3
 RULES = (
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),

@@ -208,6 +208,27 @@ def test_classifier(spark, edge, documents, labels):
     assert {r["score"] for r in quality_crf.classify(edge, none).collect()} == {none.score(np.zeros(1))[0]}
 
 
+def test_long_texts_alike(monkeypatch):
+    rng = np.random.default_rng(6)
+    first = np.array([0, 3, 4, 90, 92])
+    u, pair = rng.normal(size=92) * 3, rng.normal(size=(2, 2))
+    expected = quality_crf.Chains(first).marginals(u, pair)[0]
+    for limit in (0, 1, 50):
+        monkeypatch.setattr(quality_crf, "LONG_CHAIN", limit)
+        assert np.allclose(quality_crf.line_marginals(u, pair, first), expected)
+
+
+def test_fit_is_bounded_in_lines(spark, monkeypatch):
+    rows = [(i, "good words stand here\n" * 5 if i % 2 else "### $$$ !!! |||\n" * 5) for i in range(60)] + [(100, "\n" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    seen = []
+    monkeypatch.setattr(quality_crf, "fit", lambda own, size, first, good: seen.append(len(own)) or quality_crf.Model(None, None, (0.0, 0.0)))
+    quality_crf.learn(docs, labels)
+    quality_crf.learn(docs, labels, fit_lines=100)
+    assert 200 < seen[0] <= 360 and 0 < seen[1] <= 100
+
+
 def test_forward_backward_by_enumeration():
     import itertools
 
@@ -317,9 +338,9 @@ def test_pages_table(spark, sf):
 
 
 def test_urls(spark):
-    rows = [(1, "https://a.example.org/es/x"), (2, "http://example.org/en/12"), (3, "http://x.org/y"), (4, "http://Sub.COM/fr/1"), (5, "https://s.com/de/1?x"), (6, "http://a.net/casino/x"), (7, "http://a.net/casinox"), (8, "http://a.net/cheap-pills"), (9, "http://a.net/cheap-cheap"), (10, None), (11, "nothing"), (12, "http://org"), (13, "x://b.net#casino")]
+    rows = [(1, "https://a.example.org/es/x"), (2, "http://example.org/en/12"), (3, "http://x.org/y"), (4, "http://Sub.COM/fr/1"), (5, "https://s.com/de/1?x"), (6, "http://a.net/casino/x"), (7, "http://a.net/casinox"), (8, "http://a.net/cheap-pills"), (9, "http://a.net/cheap-cheap"), (14, "http://a.net/free-click"), (15, "http://a.net/free-click-win"), (16, "http://a.net/pills-pills"), (10, None), (11, "nothing"), (12, "http://org"), (13, "x://b.net#casino")]
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id int, url string")).collect()}
-    assert got == {1: ("example.org/es/", "block"), 2: ("example.org/en/1", "block"), 3: ("org/", "allow"), 4: ("com/fr/", "allow"), 5: ("com/de/", "block"), 6: (None, "block"), 7: (None, "allow"), 8: (None, "block"), 9: (None, "allow"), 10: (None, "allow"), 11: (None, "allow"), 12: (None, "allow"), 13: (None, "block")}
+    assert got == {1: ("example.org/es/", "block"), 2: ("example.org/en/1", "block"), 3: ("org/", "allow"), 4: ("com/fr/", "allow"), 5: ("com/de/", "block"), 6: (None, "block"), 7: (None, "allow"), 8: (None, "block"), 9: (None, "allow"), 14: (None, "allow"), 15: (None, "block"), 16: (None, "allow"), 10: (None, "allow"), 11: (None, "allow"), 12: (None, "allow"), 13: (None, "block")}
 
 
 @settings(max_examples=100, deadline=None)
