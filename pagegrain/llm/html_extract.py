@@ -2,13 +2,15 @@
 
 1. Strip markup: a tolerant scanner reads tags, comments and raw-text elements.  Block elements
    end lines.  What stands in navigation, page headers and footers, sidebars, notices, adverts,
-   forms, comment sections, scripts, styles or hidden elements leaves an *empty* line.
+   forms, comment sections or hidden elements leaves a gap: one empty line, and one for each block in it.  White
+   space between the tags of two blocks is no line.
 2. Sum text lengths over a sliding window of ``WINDOW`` lines; link text does not count.
 3. Surge: a window over the threshold that begins with a non-empty line.  Dive: the end of the run of
    windows over zero.  The text between surge and dive is kept, and a surge takes
    with it the non-empty lines directly above.
 4. Main element: where a page marks one (article or main), its text weighs ``MAIN_WEIGHT`` times, link text
-   included, against the largest surge outside.  If it weighs as much, surges are sought among its lines only;
+   included, against the largest surge outside.  If it weighs as much, surges are sought among its lines only,
+   where gaps do not count (an advert between two paragraphs ends no article);
    if not (a teaser beside unmarked text), the mark is ignored and all lines count alike.
 5. If no window reaches the threshold, it is lowered to the largest window.
 
@@ -111,13 +113,19 @@ def _is_wrapper(kind: int, held: int, total: int, inside: bool, main: int) -> bo
     return held == total or (kind == STRONG and 4 * held > 3 * total and (inside or not main))
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """((text, length without link text, in the main element) of each line, whether there is a main element)."""
+Line = tuple[str | None, int, bool]
+
+
+def lines_of(page: str) -> tuple[list[Line], bool]:
+    """((text, length without link text, in the main element) of each line, whether there is a main element).
+
+    The text of an empty line that is a gap is None.
+    """
     spared: set[int] = set()
     for _ in range(WRAPPERS):
         lines, has_main, dropped = _scan(page, spared, SURE)
-        main = sum(len(t) for t, _, inside in lines if inside)
-        total = sum(len(t) for t, _, _ in lines) + sum(held for _, _, held, _ in dropped)
+        main = sum(len(t) for t, _, inside in lines if inside and t)
+        total = sum(len(t) for t, _, _ in lines if t) + sum(held for _, _, held, _ in dropped)
         more = {at for at, kind, held, inside in dropped if held and _is_wrapper(kind, held, total, inside, main)}
         if not more:
             return lines, has_main
@@ -125,15 +133,15 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     return _scan(page, spared, 0)[:2]  # wrappers within wrappers: such names say nothing on this page
 
 
-def _scan(page: str, spared: set[int], trusted: int) -> tuple[list[tuple[str, int, bool]], bool, list[tuple[int, int, int, bool]]]:
+def _scan(page: str, spared: set[int], trusted: int) -> tuple[list[Line], bool, list[tuple[int, int, int, bool]]]:
     """Lines, whether there is a main element, and (place, kind, text length, in the main element) of what was dropped by names.
 
     Elements that start at ``spared`` are not dropped by names; none is if trusted is 0.
     """
-    out: list[tuple[str, int, bool]] = []
+    out: list[Line] = []
     dropped: list[tuple[int, int, int, bool]] = []
     parts: list[str] = []
-    link = inside = held = 0
+    link = inside = held = gap = 0
     has_main = in_link = False
     opened: list[str] = []  # the open elements around the text, by the names that matter
     count: dict[str, int] = {}
@@ -159,7 +167,10 @@ def _scan(page: str, spared: set[int], trusted: int) -> tuple[list[tuple[str, in
             link += len(" ".join(_html.unescape(page[a:b]).split()))
 
     def end_noise() -> None:
+        nonlocal gap
         open_noise.clear()
+        out.extend([(None, 0, False)] * (1 + gap))
+        gap = 0
         if root[1] < SURE:
             dropped.append((root[0], root[1], held, root[2]))
 
@@ -202,6 +213,7 @@ def _scan(page: str, spared: set[int], trusted: int) -> tuple[list[tuple[str, in
             else:
                 while open_noise and name in CLOSED_BY.get(open_noise[-1], ()):
                     open_noise.pop()
+                gap += name in BLOCKS
                 if open_noise:
                     if (name in BLOCKS or name in open_noise) and name not in VOID and not attrs.endswith("/"):
                         open_noise.append(name)
@@ -239,7 +251,7 @@ def _scan(page: str, spared: set[int], trusted: int) -> tuple[list[tuple[str, in
 
 
 def surges(size: list[int], window: int, threshold: int) -> list[tuple[int, int]]:
-    """(from, to) of the text between surge and dive points, for the sizes of non-empty lines."""
+    """(from, to) of the text between surge and dive points, for the sizes of lines."""
     n = len(size)
     upto = [0]
     for s in size:
@@ -270,13 +282,13 @@ def main_text(page: str | None, *, window: int = WINDOW, threshold: int = THRESH
     if not page:
         return ""
     lines, _ = lines_of(page)
-    lines = [x for x in lines if x[0]]  # empty lines between blocks are markup, not gaps
-    inside, outside = [len(t) for t, _, main in lines if main], [n for _, n, main in lines if not main]
+    lines = [x for x in lines if x[0] != ""]
+    inside, outside = [len(t) for t, _, main in lines if main and t], [n for _, n, main in lines if not main]
     most = max((sum(outside[a:b]) for a, b in surges(outside, window, threshold)), default=0)
     size = [n for _, n, _ in lines]
     if inside and MAIN_WEIGHT * sum(inside) >= most:
-        size, lines = inside, [x for x in lines if x[2]]
-    return " ".join(t for a, b in surges(size, window, _lowered(size, window, threshold)) for t, _, _ in lines[a:b])
+        size, lines = inside, [x for x in lines if x[2] and x[0]]
+    return " ".join(t for a, b in surges(size, window, _lowered(size, window, threshold)) for t, _, _ in lines[a:b] if t)
 
 
 FIELDS = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
@@ -295,3 +307,14 @@ def extract(pages: DataFrame, *, html: str = "html", window: int = WINDOW, thres
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: the main text of every page."""
     return extract(workspace.table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+#: The pages of the test tables have one article without noise inside: blocks between its tags, references decoded.
+ORACLE_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS inner_html FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(inner_html, '</?p>|</?h1>|<br>'), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS blocks FROM a),
+r AS (SELECT page_id, url, list_transform(blocks, lambda x: regexp_replace(replace(replace(replace(replace(replace(x,
+        '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;?', '&', 'g')) AS blocks FROM b),
+c AS (SELECT page_id, url, list_transform(blocks, lambda x: trim(regexp_replace(x, '[\s\x{A0}]+', ' ', 'g'))) AS blocks FROM r),
+t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), ' ') AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""

@@ -21,5 +21,6 @@ ORACLES = {
     "op1_ngram_jaccard": ngram_join.ORACLE_SQL,
     "op5_decontamination": decontaminate.ORACLE_SQL,
     "op6_license_scan": license_scan.oracle_sql(),
+    "op9_html_extraction": html_extract.ORACLE_SQL,
     "op10_url_filter": url_filter.oracle_sql(),
 }

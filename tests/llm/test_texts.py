@@ -375,6 +375,40 @@ def test_noise_of_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_gaps_end_a_surge():
+    side = "<div class=sidebar><p>a</p><p>b</p><p>c</p></div>"
+    body = LONG.strip()
+    assert html_extract.main_text(f"<div><p>Intro.</p><p>{LONG}</p><p>End.</p></div>{side}<div>Imprint</div>") == f"Intro. {body} End."
+    assert html_extract.main_text(f"<div><p>{LONG}</p></div>{side}<div><p>{LONG}</p></div>") == f"{body} {body}"
+    assert html_extract.main_text(f"<div><p>{LONG}</p><div class=ad>x</div><p>End.</p></div>") == f"{body} End."
+    assert html_extract.main_text(f"<article><p>{LONG}</p>{side}<p>End.</p></article>") == f"{body} End."
+
+
+def brute_blocks(size, window, threshold):
+    """Line-block distribution, line by line: a text starts where a block reaches the threshold, and lasts until a block is empty."""
+    keep, on = [False] * len(size), False
+    for i in range(len(size)):
+        block = sum(size[i:i + window])
+        if not on and size[i] and block >= threshold:
+            on, j = True, i
+            while j > 0 and size[j - 1]:
+                j -= 1
+                keep[j] = True
+        on = on and block > 0
+        keep[i] = keep[i] or on
+    return keep
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 0, 1, 5, 40, 90]), max_size=25), st.integers(1, 4), st.sampled_from([1, 50, 86]))
+def test_surges_by_brute_force(size, window, threshold):
+    keep = [False] * len(size)
+    for a, b in html_extract.surges(size, window, threshold):
+        keep[a:b] = [True] * (b - a)
+    want = brute_blocks(size, window, threshold)
+    assert [k for k, s in zip(keep, size, strict=True) if s] == [k for k, s in zip(want, size, strict=True) if s]
+
+
 def test_main_element_is_a_prior():
     card = "<article class=card><h3>Teaser</h3><p>Read this too.</p></article>"
     assert LONG.strip() in html_extract.main_text(f"<div><p>{LONG}</p></div>{card}")
