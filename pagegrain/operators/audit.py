@@ -100,7 +100,7 @@ def audit_pages(pages: DataFrame, *, answer: Callable[[DataFrame], DataFrame] |
     else:
         outputs = answer(asked.select("chunk_id", "prompt"))
     analysis = cut_lineage(model_output.analyze(chunks.select("chunk_id", "page_url", "section_id", "section_path"), outputs).join(chunks.select("chunk_id", "ord"), "chunk_id"))
-    rec = lambda name: analysis.select("page_url", "ord", F.posexplode(name).alias("pos", "r")).select("page_url", (F.col("ord") * 1000 + F.col("pos")).alias("rec_ord"), "r.*")
+    rec = lambda name: analysis.select("page_url", "ord", F.posexplode(name).alias("pos", "r")).select("page_url", (F.col("ord").cast("long") * (1 << 31) + F.col("pos")).alias("rec_ord"), "r.*")
     warned = analysis.select("page_url", "ord", F.explode("warnings").alias("warning"))
     results = cut_lineage(aggregate.page_results(pages, chunks, found, similarity.findings_by_page(findings), rec("improvements"), rec("missing_content"), warned))
     return Audit(pages, chunks, found, findings, asked, analysis, results, aggregate.top_priorities(results))
@@ -161,7 +161,7 @@ def run_job(store: Store, job_id: str, fetcher, *, rendered: DataFrame | None =
 
 def submit(store: Store, url: str, *, force_refresh: bool = False, **options) -> tuple[str, bool]:
     """(job id, whether it is a cached one) of a request."""
-    config = request_config(normalized_request(url), **options)
+    config = request_config(normalized_request(store.spark, url), **options)
     hit = store.cached(config, force_refresh=force_refresh)
     return (hit["job_id"], True) if hit else (store.create(url, config), False)
 

@@ -45,7 +45,7 @@ def discover(spark: SparkSession, start_url: str, fetcher: Callable[[DataFrame],
     max_pages, max_depth = max_pages or DEFAULT_PAGES, max_depth or DEFAULT_DEPTH
     get = fetcher if callable(fetcher) else lambda wanted: fetch.lookup(wanted, fetcher)
     result = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fetch.RESULT if f.name != "url")
-    start, error = urls.canonical(start_url)
+    start, error = urls.canonical_one(spark, start_url)
     if error:
         return Crawl(start_url, None, spark.createDataFrame([], f"{_VISIT}, {result}"), spark.createDataFrame([("invalid_start_url", error, start_url, None)], _WARNING))
     root = start.split("/", 3)

@@ -105,9 +105,9 @@ def _seq(at: datetime) -> int:
     return int(at.timestamp() * 1_000_000)
 
 
-def normalized_request(url: str) -> str:
+def normalized_request(spark: SparkSession, url: str) -> str:
     """Canonical URL of a request; ValueError if it has none."""
-    found, error = urls.canonical(url)
+    found, error = urls.canonical_one(spark, url)
     if error:
         raise ValueError(error)
     return found

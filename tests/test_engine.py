@@ -24,9 +24,15 @@ def test_text_functions(spark):
     assert tuple(got[3]) == (None, 0, None)
 
 
-@pytest.mark.parametrize("url,base,expected,error", [r[1:] for r in aq.URL_CASES])
-def test_canonical(url, base, expected, error):
-    assert urls.canonical(url, base) == (expected, error)
+def test_canonical(spark):
+    more = [("HTTP://u:p@H.com:80//a//b%20c/?b=2&utm_x=1&a=1&b=&a=0#f", None, "http://h.com/a/b%20c?a=0&a=1&b=&b=2", None), ("https://h.com:8443/%7Ex/é", None, "https://h.com:8443/~x/%C3%A9", None), ("x/%2F", "https://h.com/y/", "https://h.com/y/x", None), ("https://h.com/?q=a+b~*&Q=1", None, "https://h.com/?Q=1&q=a+b~%2A", None), ("https://h.com:99999/", None, None, urls.BAD_PORT)]
+    cases = [tuple(r[1:]) for r in aq.URL_CASES] + more
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, url string, base string, expected string, error string")
+    got = df.select("i", urls.canonical_url(F.col("url"), F.col("base")).alias("c")).orderBy("i").collect()
+    assert [(r["c"]["url"], r["c"]["error"]) for r in got] == [c[2:] for c in cases]
+    assert urls.canonical_one(spark, " h.com/x/ ") == ("https://h.com/x", None)
+    assert df.select(urls.canonical_url(F.lit("h.com/?utm_a=1&b=2"), keep_tracking=True, default_scheme="http")["url"]).first()[0] == "http://h.com/?b=2&utm_a=1"
+    assert df.limit(1).select(urls.canonical_equal(F.lit("H.com/x/?utm_b=1"), F.lit("https://h.com/x")), urls.canonical_equal(F.lit("h.com/y"), F.lit("h.com/x")), urls.canonical_equal(F.lit(""), F.lit(""))).first() == (True, False, False)
 
 
 def test_same_domain(spark):
@@ -57,12 +63,12 @@ def test_crawl_depth_zero_means_default_and_bad_start(spark):
     assert bad.visits.count() == 0 and bad.warnings.first()["code"] == "invalid_start_url"
 
 
-def test_extraction_rules():
+def test_extraction_rules(spark):
     page = """<html><head><title> T </title><script>var x = "</p>";</script></head><body><header class="site-header"><nav>n</nav></header>
     <div class="cookie-banner"><p>We use cookies here, accept them all</p></div><main><p>Before any heading there is text</p><h1>Top</h1><h2>Sub</h2>
     <p>A paragraph&nbsp;of <b>bold</b>text here <p>unclosed goes on</p><button>Get started now</button><button>OK</button><a class="btn" href="x">Read</a>
     <aside class="sidebar"><p>Related things to look at</p></aside><table><tr><td>Cell text is long enough</td></tr></table></main></body></html>"""
-    e = extract.extract_one(page, "https://s.com/")
+    e = extract.extract_pages(spark.createDataFrame([("https://s.com/", page)], "url string, html string")).first()
     assert e["title"] is None and e["h1"] == "Top"
     assert [s["heading_path"] for s in e["sections"]] == [["Page Content"], ["Top", "Sub"]]
     assert e["sections"][0]["text"] == "Before any heading there is text"
