@@ -20,8 +20,9 @@ directly or through others.
    connected component found.  The arrays hold numbers that stand for the n-grams' words themselves, so no hash
    takes part in this decision.  Verified links make the final components.
 
-Pairs of one group are never all emitted: a set that is found connected is not compared again.  Broadcast: only the frequent
-n-grams, at most ``MAX_FREQUENT``.  They change the order of n-grams, never the result.
+Pairs of one group are never all emitted: a set that is found connected is not compared again.  Broadcast: the frequent
+n-grams, at most ``MAX_FREQUENT`` (they change the order of n-grams, never the result), and the ids of the candidates' texts
+while there are at most ``BROADCAST_IDS`` (64 MB): beyond that all texts pass the join's shuffle.
 
 Hashes: equal n-grams have equal hashes, so no link is lost by them.  Set sizes and classes would be wrong only for two
 n-grams of one text, or two sets, with equal hashes of 64 or 128 bits; ``seed`` chooses other hashes.
@@ -53,6 +54,7 @@ NUM, DEN = 85, 100
 BLOCK = 2048
 BLOCK_GRAMS = 1 << 25
 BLOCK_TOKENS = 500_000
+BROADCAST_IDS = 4_000_000
 MAX_FREQUENT = 200_000
 FREQUENT_PER = 2000
 LONG = 4096
@@ -300,8 +302,9 @@ def tile_groups(classes: DataFrame, num: int, den: int) -> DataFrame:
     band = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     upper = F.when(den * F.col("n") >= F.lit(num) * F.pow(F.lit(2.0), band + 1), F.array(band, band + 1)).otherwise(F.array(band))
     posts = classes.select("node", F.explode("prefix").alias("token"), upper.alias("bands")).select("node", "token", F.explode("bands").alias("band"))
-    tiles = posts.groupBy("token", "band").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("centre")).where("sets > 1").drop("sets")
-    member = posts.join(tiles, ["token", "band"]).select("band", "centre", "node").distinct()
+    posts = posts.select("node", F.xxhash64("token", "band").alias("tile"), "band")  # two tiles of one hash only compare more
+    tiles = posts.groupBy("tile").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("centre"), F.any_value("band").alias("band")).where("sets > 1").drop("sets")
+    member = workspace.written(posts.drop("band").join(tiles.hint("merge"), "tile").select("band", "centre", "node").distinct(), "ngram-groups")
     blocks = F.ceil(F.greatest(F.col("sets") / BLOCK, F.col("sets") * F.pow(F.lit(2.0), F.col("band") + 1) / BLOCK_GRAMS)).cast("int")
     large = member.groupBy("band", "centre").agg(F.count(F.lit(1)).alias("sets")).select("band", "centre", blocks.alias("blocks")).where("blocks > 1")
     dealt = member.join(large, ["band", "centre"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -376,8 +379,11 @@ def verified_edges(docs: DataFrame, classes: DataFrame, trees: DataFrame, k: int
     """(a, b): a forest of the pairs that are linked indeed, within the candidate components."""
     member = trees.join(classes.select("node", "n", "first_id"), "node")
     load = member.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    wanted = member.join(load, "root").select("root", "node", "first_id", _block_pairs(F.col("blocks")).alias("pairs"))
-    texts = docs.join(wanted, docs["doc_id"] == wanted["first_id"]).select("root", F.explode("pairs").alias("p"), "node", "text")
+    wanted = workspace.written(member.join(load, "root").select("root", "node", "first_id", _block_pairs(F.col("blocks")).alias("pairs")), "ngram-wanted")
+    asked = docs
+    if wanted.count() <= BROADCAST_IDS:  # only texts of candidates pass the shuffle
+        asked = docs.join(F.broadcast(wanted.select(F.col("first_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    texts = asked.join(wanted, asked["doc_id"] == wanted["first_id"]).select("root", F.explode("pairs").alias("p"), "node", "text")
     nameless = _texts_without_id(docs, k, seed).join(wanted.where("first_id is null"), "node").select("root", F.explode("pairs").alias("p"), "node", "text")
     texts = texts.unionByName(nameless)
     placed = texts.select("root", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
