@@ -55,6 +55,8 @@ BLOCK = 2048
 BLOCK_GRAMS = 1 << 25
 BLOCK_TOKENS = 500_000
 BROADCAST_IDS = 4_000_000
+BROADCAST_DROPS = 2_000_000
+SALTS = 16
 MAX_FREQUENT = 200_000
 FREQUENT_PER = 2000
 LONG = 4096
@@ -454,21 +456,37 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Rows are told apart by (doc_id, text): other texts of a repeated id stay, rows without an id yield to those with one,
     equal ids to the smaller digest of the text, and of rows equal in both one stays.  Texts without n-grams all stay.  ``options``: as for join_components.
+
+    The rows to drop are broadcast while there are at most ``BROADCAST_DROPS`` (some 100 bytes each, 200 MB); beyond that
+    the rows pass one shuffle by id and digest.  A component's decision is dealt ``SALTS`` times, so a large one is no single task.
     """
     own = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select(F.struct(*own).alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__key"), F.col("text").alias("__text"))
+    digest_of = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    keyed = docs.select(F.struct(*own).alias("__row"), F.col("doc_id").cast("long").alias("__id"), digest_of.alias("__key"), F.col("text").alias("__text"))
     found = join_components(keyed, doc_id="__id", text="__text", carry=["__key"], **options).where("component is not null")
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("__key").alias("key"))
-    best = found.groupBy("component").agg(F.min(rank).alias("best"))
+    best = found.groupBy("component").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    best = best.select("component", "best", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = found.groupBy("component", F.col("doc_id").alias("id"), F.col("__key").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    place = F.xxhash64("id", "key")  # spreads rows; id and digest decide
+    rows = rows.select("*", place.alias("place")).withColumn("salt", F.pmod("place", F.lit(SALTS)).cast("int"))
     stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
-    judged = workspace.written(rows.join(best, "component").select("id", "key", "n", stays.alias("stays")).where("n > 1 or not stays"), "ngram-drops")
-    same = keyed["__id"].eqNullSafe(judged["id"]) & (keyed["__key"] == judged["key"])
-    kept = keyed.join(judged, same, "left_anti").select("__row.*")
-    repeated = judged.where("stays")
+    judged = rows.join(best, ["component", "salt"]).select("place", "id", "key", "n", stays.alias("stays")).where("n > 1 or not stays")
+    judged = workspace.written(judged, "ngram-drops")
+    small = judged.count() <= BROADCAST_DROPS
+
+    def met(decisions: DataFrame, how: str) -> DataFrame:
+        asked = F.broadcast(decisions) if small else decisions
+        same = keyed["__id"].eqNullSafe(asked["id"]) & (keyed["__key"] == asked["key"])
+        here = F.xxhash64(keyed["__id"], keyed["__key"]) == asked["place"]
+        return keyed.join(asked, here & F.coalesce(same, F.lit(False)), how)  # one long is the join's key, the rest a filter
+
+    decisions = judged.select("place", "id", "key")
+    kept = met(decisions, "left_anti").select("__row.*")
+    repeated = judged.where("stays").select("place", "id", "key")
     if repeated.isEmpty():
         return kept
-    once = keyed.join(repeated.select(F.col("id"), F.col("key")), same, "left_semi").groupBy("__id", "__key").agg(F.first("__row").alias("__row"))
+    once = met(repeated, "left_semi").groupBy("__id", "__key").agg(F.first("__row").alias("__row"))
     return kept.unionByName(once.select("__row.*"))
 
 
