@@ -85,12 +85,13 @@ def audit_pages(pages: DataFrame, *, answer: Callable[[DataFrame], DataFrame] |
     """All stages over extracted pages (page_ord and the extraction's columns).
 
     answer: from (chunk_id, prompt) to model outputs (chunk_id, attempt, text, error).  Without it, chunks have no recommendations.
+    Duplicate findings are capped per site.
     """
     chunks = chunk.chunk_sections(pages).join(pages.select(F.col("url").alias("page_url"), "page_ord"), "page_url")
     chunks = cut_lineage(chunks.withColumn("ord", F.col("page_ord") * 1_000_000 + F.col("chunk_order")))
     found = signals.page_signals(pages, chunks)
     vectors = cut_lineage(similarity.embed_chunks(chunks, embed or similarity.hashed_vectors))
-    findings = cut_lineage(similarity.duplicate_findings(chunks, vectors))
+    findings = cut_lineage(similarity.duplicate_findings(chunks, vectors, per_site=True))
     side = chunks.select(F.col("chunk_id").alias("id"), F.col("page_url").alias("page"), "ord").join(vectors.select(F.col("chunk_id").alias("id"), "vector"), "id")
     side = cut_lineage(side)
     near = similarity.similar(side, side, top_k=MATCHES, min_similarity=MATCH_MIN, cross_page_only=True)

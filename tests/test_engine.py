@@ -157,3 +157,12 @@ def test_streaming_facts(spark, tmp_path):
     spark.createDataFrame([(1, "HTTPS://A.com/x/", "<p>"), (2, None, None)], ingest.PAGES).write.parquet(str(tmp_path / "in"))
     ingest.write_facts(ingest.read_pages(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(1, "https://a.com/x", "a.com", 1, 3), (2, None, None, None, 0)]
+
+
+def test_findings_are_capped_per_site(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron sigma upsilon omega psi chi " * 4
+    rows = [(f"{s}{i}", f"https://{s}.test/{i}", "s", words, len(words), k * 10 + i, [1.0, 0.0]) for k, s in enumerate("ab") for i in range(3)]
+    df = spark.createDataFrame(rows, "chunk_id string, page_url string, section_id string, chunk_text string, text_length int, ord long, vector array<double>")
+    got = similarity.duplicate_findings(df.drop("vector"), df.select("chunk_id", "vector"), max_findings=2, per_site=True, min_words=5, block_rows=2).collect()
+    assert sorted((r["source_chunk_id"], r["matched_chunk_id"]) for r in got) == [("a0", "a1"), ("a0", "a2"), ("b0", "b1"), ("b0", "b2")]
+    assert similarity.duplicate_findings(df.drop("vector"), df.select("chunk_id", "vector"), max_findings=2, min_words=5, block_rows=2).count() == 2
