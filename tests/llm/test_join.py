@@ -118,6 +118,16 @@ def test_one_of_each(spark):
     assert ngram_join.one_of_each(df.limit(0)).count() == 0
 
 
+def test_one_of_each_beyond_the_broadcast(spark, monkeypatch):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, a), (1, b), (2, a + " end"), (None, a), (None, b), (3, None), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted([(1, a), (1, b), (3, None), (3, None), (4, "")], key=repr)
+    for limit in (ngram_join.BROADCAST_DROPS, 0):
+        monkeypatch.setattr(ngram_join, "BROADCAST_DROPS", limit)
+        assert sorted((tuple(r) for r in ngram_join.one_of_each(df, k=5, num=80).collect()), key=repr) == expected
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (200, 200)] + [(300, i) for i in range(301, 330)]
     got = dict(map(tuple, ngram_join.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()))
