@@ -13,7 +13,8 @@ bytes, then all next ones) or bit planes, and each plane is compressed by itself
 index finds any block without reading the others.
 
 Order: documents are dealt into segments, ranges of document ids with boundaries at quantiles of the
-id column; rows go straight to the partition of their segment and are sorted there.  An id (or null) that several
+id column; rows go straight to the task of their segment and are sorted there.  A task takes a run of neighbouring segments
+(``tasks_of``), so files and shuffled blocks do not become more with every 1,024 documents.  An id (or null) that several
 boundaries fall on is a hot one: its rows are dealt into as many segments, one after the other, by a hash of
 their text and place in the input.  A start position is the
 sum of the segments before (one number per segment), of ``first_id`` and of the documents before in the chunk.
@@ -44,6 +45,7 @@ BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 19
 ROWS_PER_SEGMENT = 1024
 MAX_SEGMENTS = 20_000
+SEGMENTS_PER_TASK = 16
 MAGIC = b"BPL1"
 CHUNKS = T.StructType([T.StructField("segment", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("first_id", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_index", T.BinaryType()), T.StructField("payload", T.BinaryType())])
 
@@ -147,6 +149,11 @@ def segment_of(key: np.ndarray, salt: np.ndarray, bounds: np.ndarray) -> np.ndar
     return np.where(hi - lo > 1, lo + 1 + salt % np.maximum(hi - lo, 1), hi)
 
 
+def tasks_of(segments: int, shuffle_partitions: int) -> int:
+    """Tasks that write the segments: as many as Spark's shuffles have, but of at most ``SEGMENTS_PER_TASK`` segments each."""
+    return min(segments, max(shuffle_partitions, -(-segments // SEGMENTS_PER_TASK)))
+
+
 def _encode(docs: DataFrame, doc_id: str, text: str, spec: str, end_id: int, bounds: list[int]) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast((spec, np.array(bounds, np.int64)))
     schema = "segment int, doc_id long, n long, crc long, ids binary"
@@ -198,7 +205,10 @@ def write_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
     """Encode every whole text, append ``end_id`` and write the chunks to ``path``; tokenizer: a file's content."""
     bounds = segment_bounds(docs, doc_id, rows_per_segment)
     encoded = _encode(docs, doc_id, text, tokenizer, end_id, bounds)
-    placed = encoded.repartitionById(len(bounds) + 1, F.col("segment")).sortWithinPartitions("segment", F.col("doc_id").asc_nulls_first(), "crc")
+    segments = len(bounds) + 1
+    tasks = tasks_of(segments, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    task = F.floor(F.col("segment").cast("long") * tasks / segments).cast("int")
+    placed = encoded.repartitionById(tasks, task).sortWithinPartitions("segment", F.col("doc_id").asc_nulls_first(), "crc")
     placed.mapInArrow(_pack(chunk_ids, bits), CHUNKS).write.parquet(path)
     return path
 

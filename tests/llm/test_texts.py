@@ -102,6 +102,21 @@ def test_hot_ids_are_dealt(spark):
     assert sorted((d, ids) for _, _, d, ids in got) == sorted((-1 if d is None else d, (*ids_of(t), 2)) for d, t in rows)
 
 
+def test_neighbouring_segments_share_a_task(spark):
+    """Many segments are written by few tasks, as files in document order, and read back whole."""
+    rows = [(i, f"t{i % 7} " * (i % 5)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = token_output.write_tokens(df, token_output.workspace.new_path(spark, "t"), tokenizer=SPEC, rows_per_segment=10)
+    held = [(r["f"].rsplit("/", 1)[1], r["segment"]) for r in spark.read.parquet(path).select("segment", token_output.F.input_file_name().alias("f")).collect()]
+    assert len({s for _, s in held}) > 50
+    assert len({f for f, _ in held}) <= token_output.tasks_of(60, 4) == 4
+    assert [s for _, s in sorted(held)] == sorted(s for _, s in held)
+    got = sorted((r["doc_id"], r["start"], tuple(r["ids"])) for r in token_output.read_tokens(spark, path, with_ids=True).collect())
+    assert [(d, ids) for d, _, ids in got] == [(d, (*ids_of(t), 2)) for d, t in rows]
+    assert [a for _, a, _ in got] == [sum(len(x) for _, _, x in got[:k]) for k in range(len(got))]
+    assert [token_output.tasks_of(*x) for x in ((1, 200), (150, 200), (250, 51), (14648, 200))] == [1, 150, 51, 916]
+
+
 def test_test_set_is_small():
     items = [(str(i), " ".join(f"w{(i * 7 + j) % 997}" for j in range(400))) for i in range(200)] + [("letters", "a b " * 3000)]
     tests = decontaminate.TestSet(items, 10)
