@@ -225,7 +225,7 @@ def encoder(vocabulary: Vocabulary, lexicon: Lexicon | None) -> pieces.Encoder:
     return pieces.Encoder(encode_new, vocabulary.special)
 
 
-_WORKER: dict[tuple[str, bytes], tuple[Vocabulary, pieces.Encoder]] = {}
+_WORKER: dict[tuple[str, bytes], tuple[Vocabulary, pieces.Encoder]] = workspace.kept("bpe")
 
 
 def worker_encoder(spec: str, lexicon: bytes) -> tuple[Vocabulary, pieces.Encoder]:
@@ -254,7 +254,7 @@ def frequent_pieces(docs: DataFrame, text: str = "text", limit: int = LEXICON) -
         kept = [(w, c) for w, c in seen.items() if c >= max(2, total // RARE)]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([c for _, c in kept], pa.int64())], names=["piece", "n"])
 
-    counted = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(count, "piece string, n long")
+    counted = workspace.in_arrow(docs.select(F.col(f"`{text}`").cast("string").alias("text")), count, "piece string, n long")
     top = counted.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(limit)
     return [r["piece"] for r in top.collect()]
 
@@ -282,7 +282,7 @@ def transcode(docs: DataFrame, *, text: str = "text", tokenizer: str, lexicon: i
             return [pa.array(first, pa.list_(pa.int32())), pa.array(second, pa.string())]
         return [pa.array(sizes, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
 
-    return rows.extend(docs, text, FULL if full else FIELDS, work)
+    return rows.extend(docs, text, FULL if full else FIELDS, work, owner="bpe")
 
 
 def public_spec() -> str:

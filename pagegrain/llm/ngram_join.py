@@ -245,7 +245,7 @@ def frequent_ngrams(docs: DataFrame, k: int, seed: int) -> np.ndarray:
             flush()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["token", "times"])
 
-    found = docs.mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    found = workspace.in_arrow(docs, count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
     top = found.orderBy(F.desc("times"), "token").limit(MAX_FREQUENT)
     return np.sort(np.array([r["token"] for r in top.collect()], np.int64).view(np.uint64))
 
@@ -282,7 +282,7 @@ def class_rows(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray
             made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
             yield pa.RecordBatch.from_arrays([x.column(0), *made, *x.columns[2:]], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return workspace.in_arrow(docs, run, schema)
 
 
 def classes_of(sets: DataFrame) -> DataFrame:
@@ -341,7 +341,7 @@ def candidate_edges(classes: DataFrame, num: int, den: int) -> DataFrame:
                 forest = Forest()
         yield forest.edges()
 
-    return tiles.mapInArrow(run, "a long, b long")
+    return workspace.in_arrow(tiles, run, "a long, b long")
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -373,7 +373,7 @@ def _texts_without_id(docs: DataFrame, k: int, seed: int) -> DataFrame:
             nodes = [digest(tokens, seed)[0] if len(tokens) else None for tokens in doc_sets(x.column(0), k, seed)]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), x.column(0).cast(pa.string())], names=["node", "text"])
 
-    found = docs.where("doc_id is null").select("text").mapInArrow(run, "node long, text string")
+    found = workspace.in_arrow(docs.where("doc_id is null").select("text"), run, "node long, text string")
     return found.where("node is not null").dropDuplicates(["node"])
 
 
@@ -426,7 +426,7 @@ def verified_edges(docs: DataFrame, classes: DataFrame, trees: DataFrame, k: int
                 forest = Forest()
         yield forest.edges()
 
-    return placed.mapInArrow(run, "a long, b long")
+    return workspace.in_arrow(placed, run, "a long, b long")
 
 
 def join_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = N_WORDS, num: int = NUM, den: int = DEN, seed: int = 0, carry: Sequence[str] = ()) -> DataFrame:

@@ -255,7 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
                 cells = [np.concatenate([own[i:j], size[i:j, None]], axis=1).astype("<f4").tobytes() if j - i <= fit_lines_each else b"" for i, j in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([x.column(0).slice(a, b - a), x.column(1).slice(a, b - a), pa.array(count, pa.int64()), pa.array(cells, pa.binary())], names=["id", "label", "n", "lines"])
 
-    table = workspace.written(chosen.mapInArrow(features, "id string, label int, n long, lines binary").where(F.col("n") <= fit_lines_each), "crf-lines")
+    table = workspace.written(workspace.in_arrow(chosen, features, "id string, label int, n long, lines binary").where(F.col("n") <= fit_lines_each), "crf-lines")
     found = sorted((r["id"], r["label"], bytes(r["lines"])) for r in _within(table, fit_lines).collect())
     tables = [np.frombuffer(x[2], "<f4").astype(np.float64) for x in found]
     width = 11

@@ -9,18 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import textscan
+from . import textscan, workspace
 
 #: Name under which the text travels while a batch is worked on; never in a result.
 TEXT = "__pagegrain_text"
 
 
-def extend(df: DataFrame, text: str, fields: Sequence[T.StructField], work: Callable[[pa.Array], Sequence[pa.Array]]) -> DataFrame:
+def extend(df: DataFrame, text: str, fields: Sequence[T.StructField], work: Callable[[pa.Array], Sequence[pa.Array]], owner: str | None = None) -> DataFrame:
     """``df`` with new columns made from its text column.
 
     work: turns the text column of a batch into one array for each of ``fields``.  An input
     column that has the name of a new one (in any case) is replaced by it.  The text column
-    may have any type; it is read as a string.
+    may have any type; it is read as a string.  owner: as for workspace.in_arrow.
     """
     new = {f.name.lower() for f in fields}
     kept = [c for c in df.columns if c.lower() not in new]
@@ -42,4 +42,4 @@ def extend(df: DataFrame, text: str, fields: Sequence[T.StructField], work: Call
                 old = [batch.column(i) for i in range(batch.num_columns) if i != drop]
                 yield pa.RecordBatch.from_arrays([*old, *made], names=names)
 
-    return source.mapInArrow(run, schema)
+    return workspace.in_arrow(source, run, schema, owner)

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from pagegrain.llm import bpe, decontaminate, html_extract, license_scan, pieces, quality_crf, quality_rules, sharding, textscan, token_output, url_filter
+from pagegrain.llm import bpe, decontaminate, html_extract, license_scan, pieces, quality_crf, quality_rules, sharding, textscan, token_output, url_filter, workspace
 
 SPEC = bpe.public_spec()
 LIB = Tokenizer.from_str(SPEC)
@@ -455,3 +455,18 @@ def test_entire_licenses(spark):
     rows += [("BSD-2-Clause", f"BSD 2-Clause License\n\nCopyright (c) 2020, A\nAll rights reserved.\n\n{two}"), ("Apache-2.0", texts["Apache-2.0"].split("APPENDIX")[0]), (None, texts["GPL-3.0"][:-200])]
     got = license_scan.scan(spark.createDataFrame(rows, "expected string, text string")).select("expected", "license").collect()
     assert [r["license"] for r in got] == [r["expected"] for r in got] and len(got) == len(rows)
+
+
+def test_arrow_tasks_leave_little_memory(spark):
+    """A batch of long texts is bounded by bytes; a worker's lexicon goes when another operator's task begins."""
+    import pyarrow as pa
+
+    docs = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('x', 1000000) AS text")
+    texts = workspace.in_arrow(docs, lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(x)]), pa.array([x.nbytes])], names=["n", "size"]) for x in batches), "n long, size long").collect()
+    assert sum(r["n"] for r in texts) == 40 and max(r["size"] for r in texts) <= workspace.BATCH_BYTES + 1_100_000
+    spec, held = SPEC, bpe.compile_lexicon([], bpe.Vocabulary(SPEC).merge)
+    bpe.worker_encoder(spec, held)
+    workspace.begin("bpe")
+    assert bpe._WORKER
+    workspace.begin("decontaminate")
+    assert not bpe._WORKER
